@@ -19,7 +19,7 @@ from .common import cut
 
 #: Bytes of the first digit, how much wider the next one is, and the widest.
 FIRST, WIDER, WIDEST = 64, 8, 1 << 20
-#: A table of groups is broadcast up to so many bytes of digits.
+#: The first table of groups is broadcast up to so many bytes of digits.
 BROADCAST_BYTES = 16 << 20
 
 
@@ -28,13 +28,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _shared(state: DataFrame, width: int) -> tuple[DataFrame, int]:
+def _shared(state: DataFrame) -> tuple[DataFrame, int]:
     """Groups of two or more rows with the same next digit, with a new number each."""
     found = state.groupBy("part", "digit").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("keep"))
     found = cut(found.filter("size > 1").withColumn("next", F.monotonically_increasing_id()))
     n = found.count()
-    small = n * (width + 64) <= BROADCAST_BYTES
-    return F.broadcast(found) if small else found, n
+    return found, n
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = FIRST) -> DataFrame:
@@ -47,11 +46,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     done: list[DataFrame] = []
     while True:
         state = state.withColumn("digit", F.substring("rest", 1, width))
-        shared, n = _shared(state.select("id", "part", "digit"), width)
+        shared, n = _shared(state.select("id", "part", "digit"))
         alone = [F.col("id").alias("keep"), F.lit(1).cast("long").alias("size")]
         if n == 0:
             done.append(state.select("id", *alone, "sha"))
             break
+        if width == first and n * (width + 64) <= BROADCAST_BYTES:  # else all texts would be shuffled; later on, few are left
+            shared = F.broadcast(shared)
         joined = state.join(shared, ["part", "digit"], "left")
         ended = F.length("digit") < width
         joined = joined.select(
