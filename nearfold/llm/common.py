@@ -73,3 +73,41 @@ def chunks_of(texts: list, limit: int = 8_000_000) -> Iterator[tuple[int, int]]:
         size += n
     if at < len(texts):
         yield at, len(texts)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, y) of at most `rows` documents of each label, 0 and 1: those with the smallest hash of the id.
+
+    usable: which rows of labels may be learned from. Of several labels of one
+    document the largest counts. At most 2 * rows labels come to the driver.
+    """
+    own = labels.filter(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
+    order = [F.xxhash64(F.col("_id").cast("string")), F.col("_id")]
+    kept = [tuple(r) for y in (0, 1) for r in own.filter(F.col("y") == y).orderBy(*order).limit(rows).collect()]
+    kept = docs.sparkSession.createDataFrame(kept, f"_id {labels.schema[id_col].dataType.simpleString()}, y int")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return found.join(F.broadcast(kept), F.col("id") == F.col("_id")).select("id", "text", "y")
+
+
+def train_in_one_task(examples: DataFrame, train: Callable[[list[list]], bytes]) -> bytes:
+    """Run train on the columns of examples, a bounded table, in one task on an executor; the model comes back as bytes."""
+    numbered = examples.repartition(1).sortWithinPartitions(*examples.columns[:1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[] for _ in range(width)]
+        for b in batches:
+            for all_, c in zip(cols, b.columns):
+                all_ += c.to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([train(cols)], pa.binary())], names=["model"])
+
+    width = len(examples.columns)
+    got = numbered.mapInArrow(run, "model binary").collect()
+    return bytes(got[0][0]) if got else train([[] for _ in range(width)])
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id isn't in gone, with their columns as they are; rows with a null id all stay."""
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    return docs.join(gone.select(F.col(id_col).alias(name)), F.col(id_col) == F.col(name), "left_anti")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 
 #: Bytes of the first digit, how much wider the next one is, and the widest.
 FIRST, WIDER, WIDEST = 64, 8, 1 << 20
@@ -80,8 +80,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns as they are. Rows with a null id all stay."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return without(docs, exact_groups(docs, id_col, text_col).filter(~F.col("kept")), id_col)
 
 
 ORACLE = r"""

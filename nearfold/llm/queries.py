@@ -15,12 +15,32 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = _documents(spark, sf_dir)
+    model = language.fit(docs.filter(~language.held_out()))
+    return language.identify(docs, model).withColumn("held_out", language.held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
     return near_groups(_documents(spark, sf_dir))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = _documents(spark, sf_dir)
+    net = quality.fit(docs, _labels(spark, sf_dir), usable=~quality.held_out())
+    return quality.score(docs, net).withColumn("held_out", quality.held_out()).selectExpr("doc_id", "held_out", "score", "cast(score >= 0.5 as int) AS predicted")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from pyspark.sql import functions as F
@@ -43,8 +63,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = _documents(spark, sf_dir)
+    net = toxicity.fit(docs, _labels(spark, sf_dir), usable=~toxicity.held_out())
+    return toxicity.score(docs, net).withColumn("held_out", toxicity.held_out()).selectExpr("doc_id", "held_out", "score", "cast(score >= 0.5 as int) AS predicted", "worst_word")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash, op6_bpe, op7_exact_dedup, op8_packing)}
+    return {f.__name__: f for f in (op2_language, op3_simhash, op5_quality, op6_bpe, op7_exact_dedup, op8_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, map_batches, without
 
 #: From so many fingerprints on, a half counts as crowded.
 CROWDED = 256
@@ -151,5 +151,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """The rows of docs whose id is their component's, with their columns as they are. Rows with a null id all stay."""
-    gone = near_groups(docs, id_col, text_col, size).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return without(docs, near_groups(docs, id_col, text_col, size).filter(F.col(id_col) != F.col("component_id")), id_col)

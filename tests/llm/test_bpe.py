@@ -9,7 +9,7 @@ import tiktoken
 from nearfold.llm.bpe import PrefixTable, TextCoder, decoded, encoded
 
 PATH = P.path("byte_bpe_50k.tiktoken")
-ODD = "ab c  \n\t\r'stéßñ中文12!?  \x85\x1ćǅ٣  the ing tion "
+ODD = "ab c  \n\t\r'st\u00e9\u00df\u00f1\u4e2d\u658712!? \u00a0\u2003\u0085\u001c\u0301\u01c5\u0663\u3000 the ing tion "
 
 
 @pytest.fixture(scope="module")
