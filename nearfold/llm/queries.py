@@ -19,6 +19,18 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures have no date of their own here: they are dealt over the days of 2024 by their id."""
+    from pyspark.sql import functions as F
+
+    from . import url_filter
+
+    captures = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    captures = captures.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")))
+    events = spark.createDataFrame(url_filter.EVENTS, "kind string, entry string, day string, action string, category string")
+    return url_filter.evaluate(captures, events)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
@@ -33,6 +45,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_documents(spark, sf_dir))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .mtree import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -63,6 +83,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -72,10 +98,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language, op3_simhash, op5_quality, op6_bpe, op7_exact_dedup, op8_packing, op10_toxicity)}
+    all_ = (op1_url_filter, op2_language, op3_simhash, op4_top_k, op5_quality, op6_bpe, op7_exact_dedup, op8_packing, op9_licenses, op10_toxicity)
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact_dedup
+    from . import exact_dedup, licenses, mtree, url_filter
 
-    return {"op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_url_filter": url_filter.ORACLE, "op4_top_k": mtree.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_licenses": licenses.oracle()}
