@@ -44,8 +44,8 @@ LICENSES = [
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("organisation", "organization"), ("authorised", "authorized"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("sub license", "sublicense"), ("v", "version"), ("https", "http")]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that states a copyright; its words are no part of a licence.
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that states a copyright (with a sign or a year); its words are no part of a licence.
+COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^\n]*([0-9]{4}|\(c\)|©)|\(c\)[^\n]*[0-9]{4}|©|all rights reserved)[^\n]*"
 
 
 def canonical(text: Column) -> Column:
