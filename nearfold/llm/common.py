@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from there.
-
-    The folder is the one in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+def checkpoint_folder(sc: SparkContext) -> str:
+    """The folder in spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is made."""
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return folder or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's checkpoint folder and go on from there."""
+    checkpoint_folder(df.sparkSession.sparkContext)
     return df.checkpoint()
 
 
@@ -111,3 +115,11 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     while name in docs.columns:
         name += "_"
     return docs.join(gone.select(F.col(id_col).alias(name)), F.col(id_col) == F.col(name), "left_anti")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder, read again: for tables of texts, which it keeps compressed and by column."""
+    sc = df.sparkSession.sparkContext
+    path = f"{checkpoint_folder(sc)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
