@@ -28,6 +28,9 @@ from pyspark.sql.window import Window as W
 from .common import chunks_of, cut, map_batches
 
 CHUNK = 1000
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: ASCII punctuation but the apostrophe, which may begin a match with letters.
+_AROUND = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
 class WordIds:
@@ -35,8 +38,12 @@ class WordIds:
 
     The tokenizer drops white space and no match spans it, so the ids of a text
     are those of its words in turn. Only the six ASCII white-space characters
-    separate here; others stay within a word for the tokenizer to handle. The
-    dictionary is emptied when it holds `most` words.
+    separate here; others stay within a word for the tokenizer to handle. It
+    also lowers case, and a run of punctuation beside a letter or digit is a
+    match of its own, so a new word is looked up by its parts: the lower-case
+    core and what surrounds it. New cores of letters go to the tokenizer many
+    at once; each ends with a token that ends a word. The dictionaries are
+    emptied when they hold `most` entries.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -44,18 +51,51 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
+        self.most, self.known, self.parts = most, {}, {b"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, parts: list[bytes]) -> None:
+        text = {p: p.decode("utf-8", "replace") for p in parts}
+        plain = [p for p in parts if text[p].isalpha()]
+        rest = [p for p in parts if not text[p].isalpha()]
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(map(text.__getitem__, some)), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some):
+                data = ids.tobytes()
+                for p, a, b in zip(some, [0, *last.tolist()], last.tolist()):
+                    self.parts[p] = data[4 * a : 4 * b]
+            else:  # not one match each
+                rest += some
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([text[p] for p in some], add_special_tokens=False)):
+                self.parts[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text, its ids as little-endian unsigned 32-bit numbers."""
         if len(self.known) > self.most:
             self.known = {}
+        if len(self.parts) > self.most:
+            self.parts = {b"": b""}
         words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list(set().union(*words).difference(self.known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        cut = {}
+        for w in set().union(*words).difference(self.known):
+            low = w.translate(_LOWER)
+            core = low.strip(_AROUND)
+            whole = core.decode("utf-8", "replace")
+            if whole and whole[0].isalnum() and whole[-1].isalnum():
+                at = low.index(core)
+                cut[w] = (low[:at], core, low[at + len(core) :])
+            else:
+                cut[w] = (b"", low, b"")
+        self._learn(list({p for ps in cut.values() for p in ps}.difference(self.parts)))
+        part = self.parts
+        for w, (a, b, c) in cut.items():
+            self.known[w] = part[a] + part[b] + part[c]
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
