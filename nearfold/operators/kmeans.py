@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sample_order
@@ -22,21 +27,54 @@ def initial_centroids(points: DataFrame, k: int, seed: int = 42) -> list[tuple[i
     return [(i, [float(x) for x in r["v"]]) for i, r in enumerate(rows)]
 
 
-def _literal(centroids: list[tuple[int, list[float]]]) -> Column:
-    return F.array(*[F.struct(F.lit(c).alias("cluster"), F.array(*[F.lit(x) for x in v]).alias("c")) for c, v in centroids])
+def _distances(batch: pa.RecordBatch, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a batch and their squared distances to all centres, never below 0."""
+    x = np.asarray(batch.column("v").flatten(), np.float64).reshape(batch.num_rows, -1)
+    d = (x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * x @ centres.T
+    return x, np.maximum(d, 0)
 
 
 def assign(points: DataFrame, centroids: list[tuple[int, list[float]]]) -> DataFrame:
     """(id, v, cluster, dist): nearest centroid and squared distance; ties go to the lower cluster.
 
-    K centroids of d numbers are a bounded broadcast relation, and each point
-    keeps the least of its K distances without a row for each.
+    K centroids of d numbers go along with the tasks; a batch of points meets
+    them in one matrix product, without a row for each pair.
     """
-    spark = points.sparkSession
-    table = spark.createDataFrame(centroids, "cluster int, c array<double>").agg(F.sort_array(F.collect_list(F.struct("cluster", "c"))).alias("_all"))
-    near = F.array_min(F.transform("_all", lambda x: F.struct(squared_distance(F.col("v"), x["c"]).alias("dist"), x["cluster"].alias("cluster"))))
-    out = points.join(F.broadcast(table)).select("id", "v", near.alias("n"))
-    return out.select("id", "v", F.col("n.cluster").alias("cluster"), F.col("n.dist").alias("dist"))
+    names, centres = np.array([c for c, _ in centroids], np.int32), np.array([v for _, v in centroids])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = _distances(b, centres)[1]
+                best = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(names[best]), pa.array(d[np.arange(len(d)), best])], names=["id", "v", "cluster", "dist"])
+
+    kind = points.schema["id"].dataType.simpleString()
+    return points.select("id", "v").filter("v IS NOT NULL").mapInArrow(run, f"id {kind}, v array<double>, cluster int, dist double")
+
+
+def step(points: DataFrame, centroids: list[tuple[int, list[float]]]) -> tuple[dict[int, list[float]], float]:
+    """Means of the members of each cluster that has any, and the inertia, in one job.
+
+    Each batch sends one row a cluster, so the shuffle doesn't grow with the points; K rows come to the driver.
+    """
+    names, centres = [c for c, _ in centroids], np.array([v for _, v in centroids])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, d = _distances(b, centres)
+                best = d.argmin(axis=1)
+                sums, count = np.zeros_like(centres), np.bincount(best, minlength=len(centres))
+                np.add.at(sums, best, x)
+                cost = np.bincount(best, d[np.arange(len(d)), best], len(centres))
+                own = np.flatnonzero(count)
+                arrays = [pa.array([names[k] for k in own], pa.int32()), pa.array(sums[own].tolist()), pa.array(count[own]), pa.array(cost[own])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["cluster", "s", "n", "cost"])
+
+    parts = points.select("v").filter("v IS NOT NULL").mapInArrow(run, "cluster int, s array<double>, n long, cost double")
+    rows = parts.groupBy("cluster").agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"), F.sum("n").alias("n"), F.sum("cost").alias("cost")).collect()
+    return {r["cluster"]: [x / r["n"] for x in r["s"]] for r in rows}, float(sum(r["cost"] for r in rows))
 
 
 def means(assigned: DataFrame) -> DataFrame:
@@ -45,18 +83,14 @@ def means(assigned: DataFrame) -> DataFrame:
     return long.groupBy("cluster", "dim").agg(F.avg("x").alias("value"))
 
 
-def update(assigned: DataFrame, centroids: list[tuple[int, list[float]]], points: DataFrame, seed: int) -> list[tuple[int, list[float]]]:
-    """New centroids; an empty cluster takes a row in a seeded hash order. K * d numbers come to the driver."""
-    found: dict[int, dict[int, float]] = {}
-    for r in means(assigned).collect():
-        found.setdefault(r["cluster"], {})[r["dim"]] = r["value"]
+def refill(found: dict[int, list[float]], centroids: list[tuple[int, list[float]]], points: DataFrame, seed: int) -> list[tuple[int, list[float]]]:
+    """New centroids; an empty cluster takes a row in a seeded hash order."""
     empty = [c for c, _ in centroids if c not in found]
     spare = initial_centroids(points, len(empty), seed) if empty else []
-    out = [(c, [x for _, x in sorted(v.items())]) for c, v in found.items()] + [(c, v) for c, (_, v) in zip(empty, spare)]
-    return sorted(out)
+    return sorted([*found.items(), *((c, v) for c, (_, v) in zip(empty, spare))])
 
 
-def inertia(assigned: DataFrame) -> Column:
+def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.coalesce(F.sum("dist"), F.lit(0.0)).alias("inertia"))
 
 
@@ -78,9 +112,10 @@ class KMeans:
         self.centers = initial_centroids(points, self.k, self.seed)
         self.steps, before = [], self.centers
         for i in range(self.max_iter):
-            before, assigned = self.centers, assign(points, self.centers)
-            self.centers = update(assigned, self.centers, points, self.seed + i + 1)
-            self.steps.append(float(inertia(assigned).first()[0]))
+            before = self.centers
+            found, cost = step(points, self.centers)
+            self.centers = refill(found, self.centers, points, self.seed + i + 1)
+            self.steps.append(cost)
             moved = sum((x - y) ** 2 for (_, a), (_, b) in zip(before, self.centers) for x, y in zip(a, b)) ** 0.5
             if moved < self.tol:
                 break
