@@ -199,6 +199,27 @@ def first_row_per_item(spark, d):
     return interactions.first_per_key(_rows(spark, d).select("item", "user", "rating", *[c for c in ROW]), "item", ROW).select("item", "user", "rating")
 
 
+@_query(f"""WITH {_S}, u AS (SELECT "user", CAST(row_number() OVER (ORDER BY min(rn)) - 1 AS BIGINT) AS idx FROM s WHERE split = 'train' AND rating = 5 GROUP BY 1)
+SELECT s."user", s.item, u.idx FROM s LEFT JOIN u ON u."user" = s."user" WHERE split <> 'train'""")
+def id_lookup(spark, d):
+    """Evaluation rows with the ids of users that rated 5 in training; others have none."""
+    s = _split(spark, d)
+    ids = interactions.factorize(_part(s, "train").filter("rating = 5"), "user", ROW)
+    return interactions.map_ids(s.filter("split <> 'train'").select("user", "item"), ids, "user", keep_missing=True).select("user", "item", "idx")
+
+
+@_query(f"WITH {_S} SELECT item, count(*) AS n FROM (SELECT item FROM s WHERE split = 'train' UNION ALL SELECT item FROM s WHERE split = 'valid' UNION ALL SELECT item FROM s WHERE split = 'test') GROUP BY item")
+def item_id_union(spark, d):
+    s = _split(spark, d)
+    a, b, c = (_part(s, n).select("item") for n in ("train", "valid", "test"))
+    return a.unionByName(b).unionByName(c).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f'WITH {_I} SELECT item, rating, ts AS timestamp FROM i WHERE "user" = 42')
+def one_user_rows(spark, d):
+    return _rows(spark, d).filter("user = 42").select("item", "rating", "timestamp")
+
+
 @_query("SELECT DISTINCT p_name AS title FROM part")
 def distinct_titles(spark, d):
     return interactions.distinct_values(_meta(spark, d), "title")
@@ -233,6 +254,13 @@ def exact_jaccard_topk(spark, d):
     return _int_rank(jaccard.exact_jaccard_topk(_pairs(spark, d)))
 
 
+@_query(f"""WITH {_JACCARD}, q AS (SELECT item FROM (SELECT DISTINCT item FROM p) ORDER BY md5('42|' || item), item LIMIT 20) SELECT item, other, score, rank FROM truth SEMI JOIN q USING (item)""")
+def jaccard_ground_truth(spark, d):
+    """Brute force for a sample of 20 items against all."""
+    pairs = stable(_pairs(spark, d))
+    return _int_rank(jaccard.exact_jaccard_topk(pairs, 5, stable(interactions.sample_keys(pairs, "item", 20))))
+
+
 @_query(f"WITH {_MINHASH} SELECT item, list_aggregate(sig, 'string_agg', ',') AS sig FROM sig")
 def minhash_signatures(spark, d):
     return minhash.signatures(_pairs(spark, d)).select("item", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
@@ -358,6 +386,13 @@ def _points(spark, d):
     return stable(_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v")))
 
 
+@_query("""SELECT CAST(dense_rank() OVER (ORDER BY md5('42|' || vec_id), vec_id) - 1 AS INTEGER) AS cluster, CAST(k AS INTEGER) AS dim, CAST(embedding[k + 1] AS DOUBLE) AS value
+FROM (SELECT * FROM embeddings ORDER BY md5('42|' || vec_id), vec_id LIMIT 10), range(64) r(k)""")
+def kmeans_init(spark, d):
+    rows = [(c, i, x) for c, v in kmeans.initial_centroids(_points(spark, d), 10) for i, x in enumerate(v)]
+    return spark.createDataFrame(rows, "cluster int, dim int, value double")
+
+
 @_query(f"WITH {_CENTRES} SELECT id, cluster, round(dist, 6) AS dist FROM a0")
 def kmeans_assign_step(spark, d):
     p = _points(spark, d)
@@ -401,6 +436,12 @@ def kmeans_fit(spark, d):
     return kmeans.KMeans(10, 20, 1e-3).fit(_table(spark, d, "embeddings"), "vec_id", "embedding").labels
 
 
+@_query()
+def kmeans_strict(spark, d):
+    """Labels from before the last update."""
+    return kmeans.KMeans(10, 5, 1e-3, strict_labels=True).fit(_table(spark, d, "embeddings"), "vec_id", "embedding").labels
+
+
 @_query()
 def kmeans_elbow(spark, d):
     return kmeans.elbow(_table(spark, d, "embeddings"), (5, 10, 20), 8, 1e-3, 42, "vec_id", "embedding")
