@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stages import topk
+from ..plans.stages import maybe_broadcast, stable, topk
 
 
 def item_user_pairs(df: DataFrame, item: str = "product_idx", user: str = "user_idx") -> DataFrame:
@@ -33,17 +33,18 @@ def similar_pairs(pairs: DataFrame, queries: DataFrame | None = None) -> DataFra
     """(item, other, score) of all pairs with a common user; queries: column item.
 
     Pairs meet by user, so a user's items pair up with each other: this is the
-    exact form, for truth. MinHash is the form for large inputs. Without
-    queries each pair is counted once and then mirrored.
+    exact form, for truth. MinHash is the form for large inputs. Set sizes go
+    along with the pairs, so nothing is joined to what the meeting makes.
+    Without queries each pair is counted once and then mirrored.
     """
     sizes = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    left = pairs if queries is None else pairs.join(queries.select("item").distinct(), "item", "left_semi")
-    a, b = left.alias("a"), pairs.select(F.col("item").alias("other"), "user").alias("b")
+    sized = stable(pairs.join(sizes, "item"))
+    left = sized if queries is None else sized.join(maybe_broadcast(queries.select("item").distinct()), "item", "left_semi")
+    a, b = left.withColumnRenamed("n", "na").alias("a"), sized.select(F.col("item").alias("other"), "user", F.col("n").alias("nb")).alias("b")
     apart = F.col("a.item") < F.col("b.other") if queries is None else F.col("a.item") != F.col("b.other")
-    common = a.join(b, (F.col("a.user") == F.col("b.user")) & apart).groupBy("item", "other").agg(F.count(F.lit(1)).alias("k"))
-    out = common.join(sizes.withColumnRenamed("n", "na"), "item")
-    out = out.join(sizes.select(F.col("item").alias("other"), F.col("n").alias("nb")), "other")
-    out = out.select("item", "other", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("score"))
+    met = a.join(b, (F.col("a.user") == F.col("b.user")) & apart)
+    common = met.groupBy("item", "other").agg(F.count(F.lit(1)).alias("k"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+    out = common.select("item", "other", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("score"))
     if queries is None:
         both = F.explode(F.array(F.struct("item", "other"), F.struct(F.col("other").alias("item"), F.col("item").alias("other"))))
         out = out.select(both.alias("p"), "score").select("p.item", "p.other", "score")

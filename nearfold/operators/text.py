@@ -33,9 +33,14 @@ def tokens(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
-    """(doc, term, tf)."""
+    """(doc, term, tf).
+
+    Texts are dealt by document before they are cut up: the shuffle carries
+    texts, not rows of terms, and counts and norms by document need no other.
+    """
     stop = english() if stop_words is None else stop_words
-    t = docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term"))
+    dealt = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).repartition("doc")
+    t = dealt.select("doc", F.explode(tokens(F.col("_text"))).alias("term"))
     if stop:
         t = t.filter(~F.col("term").isin(stop))
     return t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
