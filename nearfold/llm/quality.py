@@ -84,10 +84,20 @@ def pooled(tables: np.ndarray, text: bytes) -> np.ndarray:
     return np.concatenate(rows)
 
 
-def train(chunks: list[list[bytes]], y: list[int], epochs: int = 25, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Net:
-    """chunks: of each example. Gradients reach the filters where they answered most."""
+def train(chunks: list[list[bytes]], y: list[int], epochs: int = 15, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Net:
+    """chunks: of each example. Gradients reach the filters where they answered most.
+
+    Each example comes once more as a short piece of itself, so that short
+    documents are judged by what they hold and not by their length.
+    """
     rng = np.random.default_rng(seed)
-    labels = np.array(y, np.float64)
+    pieces = []
+    for cs in chunks:
+        c = cs[rng.integers(len(cs))]
+        size = int(rng.integers(16, 160))
+        at = int(rng.integers(0, max(1, len(c) - size + 1)))
+        pieces.append([c[at : at + size]])
+    chunks, labels = [*chunks, *pieces], np.array([*y, *y], np.float64)
     w = {
         "embed": rng.normal(0, 0.5, (256, EMBED)), "filters": rng.normal(0, 0.5 / np.sqrt(WIDTH), (WIDTH, EMBED, FILTERS)),
         "bias": np.zeros(FILTERS), "out": rng.normal(0, 0.3, 2 * FILTERS), "constant": np.zeros(1),
