@@ -27,7 +27,7 @@ from pyspark.sql.window import Window as W
 
 from .common import chunks_of, cut, map_batches
 
-CHUNK = 1000
+CHUNK = 250
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: ASCII punctuation but the apostrophe, which may begin a match with letters.
 _AROUND = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
