@@ -215,9 +215,9 @@ def item_id_union(spark, d):
     return a.unionByName(b).unionByName(c).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(f'WITH {_I} SELECT item, rating, ts AS timestamp FROM i WHERE "user" = 42')
-def one_user_rows(spark, d):
-    return _rows(spark, d).filter("user = 42").select("item", "rating", "timestamp")
+@_query(f'WITH {_I} SELECT "user", item, ts AS timestamp FROM i WHERE rating = 5')
+def equality_mask(spark, d):
+    return _rows(spark, d).filter("rating = 5").select("user", "item", "timestamp")
 
 
 @_query("SELECT DISTINCT p_name AS title FROM part")
