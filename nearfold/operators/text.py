@@ -99,13 +99,12 @@ def dense_cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col
 
 def ml_tfidf(docs: DataFrame, text_col: str = "text", max_features: int = FEATURES) -> DataFrame:
     """docs with a vector `features`: the library's pipeline, with the same weights as tfidf()."""
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
 
     stop = F.array(*[F.lit(w) for w in english()])
     df = docs.withColumn("_terms", F.filter(tokens(F.col(text_col)), lambda t: ~F.array_contains(stop, t)))
     df = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features).fit(df).transform(df)
-    df = IDF(inputCol="_tf", outputCol="_idf").fit(df).transform(df)
-    both = F.zip_with(vector_to_array("_tf"), vector_to_array("_idf"), lambda a, b: a + b)  # the library's idf lacks the 1
-    df = df.withColumn("_sum", array_to_vector(both))
-    return Normalizer(inputCol="_sum", outputCol="features", p=2.0).transform(df).drop("_terms", "_tf", "_idf", "_sum")
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(df).idf.toArray() + 1  # the library's idf lacks the 1
+    df = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_sum").transform(df)  # vectors stay sparse
+    return Normalizer(inputCol="_sum", outputCol="features", p=2.0).transform(df).drop("_terms", "_tf", "_sum")

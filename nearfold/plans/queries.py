@@ -367,10 +367,8 @@ def tfidf_cosine_padded(spark, d):
 @_query()
 def tfidf_library(spark, d):
     """Documents with the number of terms the library's pipeline gives weight."""
-    from pyspark.ml.functions import vector_to_array
-
-    out = text.ml_tfidf(_table(spark, d, "documents"), max_features=2000)
-    return out.select("doc_id", F.size(F.filter(vector_to_array("features"), lambda x: x > 0)).alias("terms"))
+    out = text.ml_tfidf(_table(spark, d, "documents"))
+    return out.select("doc_id", F.udf(lambda v: int(v.numNonzeros()), "int")("features").alias("terms"))
 
 
 @_query("""WITH pt AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
