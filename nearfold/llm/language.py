@@ -1,36 +1,44 @@
 """Language identification with spans.
 
-Each word has a score for every language: the log-probability of its character
-trigrams, learned from labelled texts. Unicode script ranges narrow the
-candidates first: a word's script leaves only the languages that were seen to
-use it. Viterbi decoding over the words of a text, with a penalty for each
-switch of language, labels the spans; the text's language is the one with the
-most letters, its score the share of letters it holds.
-
-Learning takes at most FIT_ROWS labelled rows (those of the smallest hash of
-the id); the counts are made on the executors.
-
-Defined results: `und` with score 0 for a null text or one without a letter.
-If no learned language uses a text's scripts, the one seen most with score
-0.1. Without any labelled row every text is `und`. Null ids,
-repeated rows and ties (the alphabetically first language) are kept. An empty
-table gives an empty result. Other columns are ignored.
+A word is a run between white space, cut where its script changes; scripts
+that are written without spaces are cut every few characters. Each word has a
+score for every language: the log-probability of its character trigrams,
+learned from labelled texts. Unicode script ranges narrow the candidates first:
+a word's script leaves only the languages that were seen to use it. Viterbi
+decoding over the words of a text, with a penalty for each switch of language,
+labels the spans; the text's language is the one with the most letters, its
+score the share of letters it holds. Texts of any length are decoded in blocks
+of BLOCK words at once, from each language a block may start in, so no step is
+made for each word of a long text.
+
+Learning takes at most FIT_ROWS labelled rows of each language (those of the
+smallest hash of the id); the counts are made on the executors.
+
+Defined results: letters are what Unicode calls so; `und` with score 0 for a
+null text or one without a letter. If no learned language uses a text's
+scripts, the one seen most with score 0.1. Without any labelled row every text
+is `und`. Ties go to the alphabetically first language. Null ids and repeated
+rows are kept and judged like others. An empty table gives an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, chunks_of, fold, map_batches, without
-from .words import WordTable, sums, trigram_buckets
+from .common import bounded_rows, chunks_of, fold, kept_batches, map_batches
+from .words import WordTable, spaced, sums, trigram_buckets
 
-FIT_ROWS = 4000
+FIT_ROWS = 1500
+#: Words that are decoded together, and characters of a word in a script without spaces.
+BLOCK, UNSPACED = 1024, 4
 BITS = 15
 #: First code point of a run of scripts, and the script (0: none in particular).
 RANGES = [
@@ -41,11 +49,40 @@ RANGES = [
 SCRIPTS = 1 + max(s for _, s in RANGES)
 _STARTS = [a for a, _ in RANGES]
 _CODES = [s for _, s in RANGES]
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Of RANGES, the scripts written without spaces.
+_WITHOUT_SPACES = {9, 12, 13}
+
+
+def _pattern() -> re.Pattern:
+    """Words of a text: neutral characters stay with the script that they stand beside."""
+    space = "\x20\x09-\x0D"
+    ends = [*_STARTS[1:], 0x110000]
+    of = {n: "".join(f"\\U{a:08x}-\\U{z - 1:08x}" for a, z, s in zip(_STARTS, ends, _CODES) if s == n) for n in set(_CODES)}
+    neutral = f"[^{space}{''.join(v for n, v in of.items() if n)}]"
+    some = []
+    for n, own in of.items():
+        if n:
+            rest = f"[^{space}{''.join(v for m, v in of.items() if m not in (0, n))}]"
+            some.append(f"{neutral}*[{own}]{rest}" + (f"{{0,{UNSPACED - 1}}}" if n in _WITHOUT_SPACES else "*"))
+    return re.compile("|".join([*some, f"{neutral}+"]))
+
+
+_WORDS = _pattern()
+_NOT_LETTERS = re.compile(r"[\W\d_]+")  # leaves letters and signs for numbers
+_SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+_OTHER = re.compile("[^\x00-\u024f\u1e00-\u1eff\u2000-\u206f]")
+
+
+def split(text: str | None) -> list[bytes]:
+    """The words of a text; one whose letters are all Latin needs no look at its scripts."""
+    if not text or text.isascii() or not _OTHER.search(text):
+        return spaced(text)
+    return [w.encode("utf-8", "surrogatepass") for w in _WORDS.findall(text)]
 
 
 def letters(word: bytes) -> str:
-    return _NOT_LETTERS.sub("", word.decode("utf-8", "replace").lower())
+    t = _NOT_LETTERS.sub("", word.decode("utf-8", "replace").lower())
+    return t if t.isalpha() else "".join(filter(str.isalpha, t))
 
 
 def script(word: str) -> int:
@@ -80,39 +117,65 @@ class Model:
         return out
 
     def label(self, scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The language of each word, by Viterbi over every text at once; scores: words in turn."""
-        order = np.argsort(-counts, kind="stable")
-        start = (np.cumsum(counts) - counts)[order]
-        count = counts[order]
+        """The language of each word, by Viterbi over every text; scores: words in turn, counts: words of each text.
+
+        A text is a chain of blocks of at most BLOCK words. The words of a block that isn't the first are decoded from
+        each language that may stand before it; all such runs of all texts step together, then each chain needs a
+        step for each block.
+        """
+        k = scores.shape[1]
+        blocks = -(-counts // BLOCK)
+        nth = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        size = np.minimum(np.repeat(counts, blocks) - nth * BLOCK, BLOCK)
+        begin = np.cumsum(size) - size
+        runs = np.where(nth > 0, k, 1)
+        first_run = np.cumsum(runs) - runs
+        of = np.repeat(np.arange(len(size)), runs)  # the block of each run
+        before = np.arange(len(of)) - first_run[of]
+        value = np.where((nth[of] == 0)[:, None] | (before[:, None] == np.arange(k)), 0.0, -1e9)
+        order = np.argsort(-size[of], kind="stable")
+        count, at_word = size[of][order], begin[of][order]
+        kept = np.cumsum(size[of]) - size[of]  # where the words of each run are noted
+        at_note = kept[order]
         steps = int(count[0]) if len(count) else 0
-        live = np.searchsorted(-count, -np.arange(steps), side="left")  # texts with more words than t
-        came = np.zeros(scores.shape, np.int8 if scores.shape[1] < 128 else np.int32)
-        same = np.arange(scores.shape[1], dtype=came.dtype)
-        value = np.zeros((len(counts), scores.shape[1]), np.float32)
-        for t in range(steps):
-            n = live[t]
-            at, v = start[:n] + t, value[:n]
-            if t:
-                best = v.argmax(axis=1)
-                switch = v[np.arange(n), best][:, None] - self.penalty
-                came[at] = np.where(v >= switch, same, best[:, None])
-                v = np.maximum(v, switch)
-            v = v + scores[at]
-            value[:n] = v - v.max(axis=1, keepdims=True)
-        path = np.zeros(len(scores), came.dtype)
-        now = value.argmax(axis=1)
-        for t in range(steps - 1, -1, -1):
-            n = live[t]
-            at = start[:n] + t
-            path[at] = now[:n]
-            now[:n] = came[at, now[:n]]
+        live = np.searchsorted(-count, -np.arange(steps), side="left")  # runs with more words than t
+        came = np.zeros((int(size[of].sum()), k), np.int8 if k < 128 else np.int32)
+        same = np.arange(k, dtype=came.dtype)
+        now_value = value[order]
+        for t, n in enumerate(live):
+            v = now_value[:n]
+            best = v.argmax(axis=1)
+            switch = v[np.arange(n), best][:, None] - self.penalty
+            came[at_note[:n] + t] = np.where(v >= switch, same, best[:, None])
+            now_value[:n] = np.maximum(v, switch) + scores[at_word[:n] + t]
+        value[order] = now_value
+        entry, final = np.zeros(len(size), np.int64), value[first_run].argmax(axis=1) if len(size) else np.zeros(0, np.int64)
+        for f, n in zip(np.flatnonzero(nth == 0), blocks[blocks > 0]):
+            reach, back = value[first_run[f]], []
+            for i in range(f + 1, f + n):
+                way = reach[:, None] + value[first_run[i] : first_run[i] + k]
+                back.append(way.argmax(axis=0))
+                reach = way.max(axis=0)
+                reach = reach - reach.max()
+            now = int(reach.argmax())
+            for i in range(f + n - 1, f, -1):
+                final[i], now = now, int(back[i - f - 1][now])
+                entry[i] = now
+            final[f] = now
+        path = np.zeros(len(scores), np.int64)
+        order = np.argsort(-size, kind="stable")
+        last, note = (begin + size)[order] - 1, (kept[first_run + entry] + size)[order] - 1
+        now, live = final[order], np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")
+        for t, n in enumerate(live):
+            path[last[:n] - t] = now[:n]
+            now[:n] = came[note[:n] - t, now[:n]]
         return path
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, penalty: float = 8.0) -> Model:
     """Learn from rows with a non-null language."""
     used = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, F.col(lang_col).cast("string").alias(lang_col), F.col(text_col).cast("string").alias(text_col))
-    used = bounded_rows(used, id_col, rows)
+    used = bounded_rows(used, id_col, lang_col, rows, text_col)
 
     def count(cols: list[list]) -> list:
         total: dict[tuple[str, int], int] = {}
@@ -121,7 +184,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 seen: dict[str, int] = {}
                 for which, t in zip(cols[0][a:b], cols[1][a:b]):
                     if which == lang:
-                        for w in t.encode("utf-8", "surrogatepass").split():
+                        for w in split(t):
                             w = letters(w)
                             if w:
                                 seen[w] = seen.get(w, 0) + 1
@@ -134,7 +197,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                     total[lang, int(i)] = total.get((lang, int(i)), 0) + int(n[i])
         return [[k[0] for k in total], [k[1] for k in total], list(total.values())]
 
-    found = map_batches(used.select(lang_col, text_col), count, "lang string, bucket int, n long")
+    found = map_batches(used.select("group", "text"), count, "lang string, bucket int, n long")
     found = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # bounded by languages and buckets
     names = sorted({r["lang"] for r in found})
     table = np.zeros((len(names), (1 << BITS) + SCRIPTS))
@@ -150,7 +213,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def spans_of(path: np.ndarray, text: str, names: list[str]) -> list[tuple[int, int, str]]:
     """(first character, character after the last, language) of each run of words of one language."""
     out: list[tuple[int, int, str]] = []
-    for m, k in zip(re.finditer(r"[^\x20\x09-\x0D]+", text), path):
+    for m, k in zip((_WORDS if _OTHER.search(text) else _SPACED).finditer(text), path):
         if out and out[-1][2] == names[k]:
             out[-1] = (out[-1][0], m.end(), names[k])
         else:
@@ -158,19 +221,19 @@ def spans_of(path: np.ndarray, text: str, names: list[str]) -> list[tuple[int, i
     return out
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
-    """(id, lang_pred, score[, spans])."""
+def _judge(docs: DataFrame, model: Model, spans: bool = False) -> Callable[[list], list[list]]:
+    """What gives texts their languages, scores and, if asked for, spans."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by buckets and languages
     table: list[WordTable] = []
 
-    def run(cols: list[list]) -> list:
+    def judge(whole: list) -> list[list]:
         m = sent.value
         k = len(m.names)
         if not table:
-            table.append(WordTable(m.features))
+            table.append(WordTable(m.features, 300_000, split))
         lang, score, found = [], [], []
-        for a, b in chunks_of(cols[1]):
-            texts = cols[1][a:b]
+        for a, b in chunks_of(whole, 2_000_000):
+            texts = whole[a:b]
             at, counts = table[0].look_up(texts)
             rows = table[0].rows[at]
             path = m.label(rows[:, :k], counts) if k else np.zeros(len(at), np.int8)
@@ -189,17 +252,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             if spans:
                 ends = np.cumsum(counts)
                 found += [[dict(zip(("start", "end", "lang"), s)) for s in spans_of(path[e - c : e], t or "", m.names)] if k else [] for t, c, e in zip(texts, counts, ends)]
-        return [cols[0], lang, score] + ([found] if spans else [])
+        return [lang, score] + ([found] if spans else [])
+
+    return judge
 
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+    """(id, lang_pred, score[, spans])."""
+    judge = _judge(docs, model, spans)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, lang_pred string, score double" + ", spans array<struct<start: int, end: int, lang: string>>" * spans
-    out = map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, schema)
+    out = map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), lambda cols: [cols[0], *judge(cols[1])], schema)
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs in a learned language with at least that score, with their columns as they are. Rows with a null id all stay."""
-    return without(docs, identify(docs, model, id_col, text_col).filter((F.col("lang_pred") == "und") | (F.col("score") < least)), id_col)
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.25, text_col: str = "text") -> DataFrame:
+    """The rows of docs in a learned language with at least that score, with their columns as they are; each is judged where it is read."""
+    judge = _judge(docs, model)
+    return kept_batches(docs, text_col, lambda texts: [lang != "und" and x >= least for lang, x in zip(*judge(texts))])
 
 
 def held_out(id_col: str = "doc_id"):

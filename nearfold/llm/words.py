@@ -13,24 +13,29 @@ class _Numbers(dict):
         return n
 
 
+def spaced(text: str | None) -> list[bytes]:
+    """The words of a text between ASCII white space."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
 class WordTable:
     """Numbers words and keeps a row of features for each; emptied when it holds `most` words."""
 
-    def __init__(self, features: Callable[[list[bytes]], np.ndarray], most: int = 300_000):
-        self.features, self.most, self.number, self.rows = features, most, _Numbers(), None
+    def __init__(self, features: Callable[[list], np.ndarray], most: int = 150_000, split: Callable[[str | None], list] = spaced):
+        self.features, self.most, self.split, self.number, self.rows = features, most, split, _Numbers(), None
 
     def look_up(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(row of `rows` for each word of all texts in turn, words in each text)."""
         if len(self.number) > self.most:
             self.number, self.rows = _Numbers(), None
         known = len(self.number)
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        words = list(map(self.split, texts))
         counts = np.fromiter(map(len, words), np.int64, len(words))
         get = self.number.__getitem__
         at = np.fromiter((n for ws in words for n in map(get, ws)), np.int32, int(counts.sum()))
         if len(self.number) > known or self.rows is None:
             new = list(self.number)[known:] if known else list(self.number)
-            made = np.concatenate([self.features(new[i : i + 50_000]) for i in range(0, len(new), 50_000)]) if new else self.features([])
+            made = np.concatenate([self.features(new[i : i + 10_000]) for i in range(0, len(new), 10_000)]) if new else self.features([])
             self.rows = made if self.rows is None else np.concatenate([self.rows, made])
         return at, counts
 
