@@ -1,40 +1,45 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-Each word gives the network word inputs (how the word divides toxic from other
-texts) and character inputs (the same for its character n-grams, and fixed
-random projections of them). The network reads overlapping windows of words in
-both directions, attention pools the states, and a text's score is that of its
-most toxic window; every window of the whole text is scored. All is trained in
-numpy: the network sees the window of each text that it finds worst, again at
-each epoch. Inputs of a text in training leave that text out of the counts.
+Each word gives the network word inputs (a learned embedding of the word, by
+its hash, and how it divides toxic from other texts) and character inputs (the
+mean of learned embeddings of its character n-grams, and how those divide the
+texts). The network reads overlapping windows of words in both directions,
+attention pools the states, and a text's score is that of its most toxic
+window; every window of the whole text is scored. Embeddings, gates, attention
+and output are trained together in numpy: the network sees the window of each
+text that it finds worst, chosen anew from all its windows at each epoch. How
+words divide the texts leaves out the text in training.
 
 Learning takes at most FIT_ROWS labelled rows of each class (those of the
-smallest hash of the id), and of a row at most FIT_WINDOWS windows, evenly
-spread.
+smallest hash of the id), whole texts, read in batches and held as a number a
+word.
 
 Defined results: a null or empty text, or one without words, scores 0. Without
-labels of both classes every score is 0. Null ids and repeated rows are kept.
-An empty table gives an empty result. Other columns are ignored.
+labels of both classes every score is 0. Null ids and repeated rows are kept
+and judged like others. An empty table gives an empty result. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_of, fold, labelled_sample, map_batches, train_in_one_task, without
+from .common import chunks_of, fold, kept_batches, labelled_sample, map_batches, train_in_one_task
 from .words import WordTable, characters, sums
 
 FIT_ROWS = 2000
-FIT_WINDOWS = 64
 WINDOW, STRIDE = 24, 16
-WORD_BITS, GRAM_BITS = 17, 18
-HIDDEN, ATTEND, PROJECT = 8, 8, 4
-INPUTS = 5 + PROJECT
+#: Bits of the buckets of words and n-grams: of the counts, and of the embeddings.
+WORD_BITS, GRAM_BITS, EMBED_BITS = 17, 18, 14
+HIDDEN, ATTEND, EMBED = 8, 8, 4
+COUNTED = 5
+INPUTS = COUNTED + 2 * EMBED
 BLOCK = 4096
 
 
@@ -90,21 +95,27 @@ class Net:
     gram: np.ndarray
     totals: tuple[float, float]
 
-    def inputs(self, words: list[str], without: tuple[int, int] = (0, 0)) -> np.ndarray:
-        """INPUTS numbers for each word; without: a text of either class to be left out of the counts."""
-        if not words:
-            return np.zeros((0, INPUTS), np.float32)
-        b, grams, counts = hashed(words)
+    def counted(self, b: np.ndarray, grams: np.ndarray, counts: np.ndarray, without: tuple[int, int] = (0, 0)) -> np.ndarray:
+        """COUNTED numbers for each hashed() word; without: a text of either class to be left out of the counts."""
         off = np.array(without, np.float32)[:, None]
         total = np.maximum(1, np.array(self.totals) - np.array(without))
         odds = lambda t, i: log_odds(*np.maximum(0, t[:, i] - off), *total).astype(np.float32)
         g = odds(self.gram, grams)
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        mean = sums(g, counts) / counts
-        signs = (grams[:, None] >> np.arange(PROJECT) & 1) * 2.0 - 1
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
         seen = np.log1p(np.maximum(0, self.word[:, b] - off).sum(axis=0))
-        cols = [odds(self.word, b) / 2, mean, np.maximum.reduceat(g, starts) / 2, np.minimum.reduceat(g, starts) / 2, seen / 4]
-        return np.column_stack([*cols, sums(signs, counts) / counts[:, None]]).astype(np.float32)
+        return np.column_stack([odds(self.word, b) / 2, sums(g, counts) / counts, np.maximum.reduceat(g, starts) / 2, np.minimum.reduceat(g, starts) / 2, seen / 4]).astype(np.float32)
+
+    def embedded(self, b: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The learned inputs of each hashed() word."""
+        low = (1 << EMBED_BITS) - 1
+        return np.concatenate([self.w["word"][b & low], sums(self.w["gram"][grams & low], counts) / counts[:, None].astype(np.float32)], axis=1)
+
+    def inputs(self, words: list[str]) -> np.ndarray:
+        """INPUTS numbers for each word."""
+        if not words:
+            return np.zeros((0, INPUTS), np.float32)
+        found = hashed(words)
+        return np.concatenate([self.counted(*found), self.embedded(*found)], axis=1).astype(np.float32)
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """What the gates of both directions take from the inputs."""
@@ -137,7 +148,7 @@ class Net:
         return pooled @ self.w["o"] + self.w["c"][0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted mean cross-entropy of windows with inputs x."""
+        """Of the weighted mean cross-entropy of windows with inputs x, to the weights and (as "x") to the inputs."""
         h, keep = HIDDEN, {}
         n, t, _ = x.shape
         logit = self.run(self.projected(x.reshape(n * t, -1)).reshape(n, t, -1), mask, keep)
@@ -152,6 +163,7 @@ class Net:
         dh = de[:, :, None] * self.w["v"] * (1 - hidden**2)
         g["A"] = np.einsum("nth,nta->ha", states, dh)
         ds += dh @ self.w["A"].T
+        g["x"] = np.zeros((n * t, x.shape[2]), np.float32)
         for k, name in enumerate("fb"):
             u = self.w[f"U{name}"]
             back, da, du = np.zeros((n, h), np.float32), np.zeros((n, t, 3 * h), np.float32), np.zeros_like(u)
@@ -169,6 +181,7 @@ class Net:
             g[f"U{name}"] = du
             g[f"W{name}"] = x.reshape(n * t, -1).T @ da.reshape(n * t, -1)
             g[f"b{name}"] = da.sum(axis=(0, 1))
+            g["x"] += da.reshape(n * t, -1) @ self.w[f"W{name}"].T
         return g
 
 
@@ -182,58 +195,93 @@ def _untrained(rng: np.random.Generator) -> dict[str, np.ndarray]:
     w = {}
     for d in "fb":
         w |= {f"W{d}": rng.normal(0, 0.3, (INPUTS, 3 * h)), f"U{d}": rng.normal(0, 0.3, (h, 3 * h)), f"b{d}": np.zeros(3 * h)}
+    w |= {k: rng.normal(0, 0.1, (1 << EMBED_BITS, EMBED)) for k in ("word", "gram")}
     w |= {"A": rng.normal(0, 0.3, (2 * h, ATTEND)), "v": rng.normal(0, 0.5, ATTEND), "o": rng.normal(0, 0.5, 2 * h), "c": np.array([-1.0])}
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def train(texts: list[str], y: list[int], epochs: int = 12, batch: int = 128, rate: float = 0.01, clean: float = 2.0, seed: int = 7) -> Net:
-    """texts: the words of each example's windows, windows divided by a line feed. clean: what clean texts weigh
-    together where toxic ones weigh 1, so that clean texts are left alone."""
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of runs that start there and have so many."""
+    return np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+def train(texts: list[str | None], y: list[int], **options) -> Net:
+    return train_batches(iter([[texts, y]]), **options)
+
+
+def train_batches(batches: Iterator[list[list]], epochs: int = 12, batch: int = 128, rate: float = 0.01, clean: float = 2.0, seed: int = 7) -> Net:
+    """batches: of texts and labels. clean: what clean texts weigh together where toxic ones weigh 1, so that clean
+    texts are left alone."""
     rng = np.random.default_rng(seed)
-    labels = np.array(y, np.float32)
-    parts = [[plain(w.encode("utf-8", "surrogatepass").split()) for w in t.split("\n")] for t in texts]
     number: dict[str, int] = {}
-    ids = [[np.array([number.setdefault(w, len(number)) for w in win], np.int64) for win in p] for p in parts]
-    words = list(number)
-    b, grams, counts = hashed(words) if words else (np.zeros(0, np.int64),) * 3
-    ends = np.cumsum(counts)
+    docs: list[np.ndarray] = []
+    y: list[int] = []
+    for texts, marks in batches:
+        y += marks
+        for t in texts:
+            ws = plain((t or "").encode("utf-8", "surrogatepass").split())
+            docs.append(np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int32, len(ws)))
+    labels, words = np.array(y, np.float32), list(number)
     net = Net(_untrained(rng), np.zeros((2, 1 << WORD_BITS), np.float32), np.zeros((2, 1 << GRAM_BITS), np.float32), (float(labels.sum()), float((1 - labels).sum())))
-    for p, k in zip(ids, labels):
-        own = np.unique(np.concatenate(p))
-        side = 0 if k else 1
-        net.word[side, np.unique(b[own])] += 1
-        if len(own):
-            net.gram[side, np.unique(np.concatenate([grams[ends[i] - counts[i] : ends[i]] for i in own]))] += 1
-    if not len(labels) or not 0 < labels.sum() < len(labels):
+    if not len(words) or not 0 < labels.sum() < len(labels):
         net.w = {}
         return net
-    table = np.stack([net.inputs(words, (0, 1)), net.inputs(words, (1, 0))])  # by label
-    of = np.concatenate([[i] * len(p) for i, p in enumerate(ids)]).astype(np.int64)
-    flat = np.zeros((len(of), WINDOW), np.int64)
-    mask = np.zeros((len(of), WINDOW), np.float32)
-    for k, win in enumerate(w for p in ids for w in p):
-        flat[k, : len(win)], mask[k, : len(win)] = win, 1
+    found = [[x.astype(np.int32) for x in hashed(words[i : i + 10_000])] for i in range(0, len(words), 10_000)]
+    b, grams, counts = (np.concatenate([f.pop(0) for f in found]) for _ in range(3))
+    number.clear()
+    begin = np.cumsum(counts, dtype=np.int64) - counts
+    for p, k in zip(docs, labels):
+        own = np.unique(p)
+        side = 0 if k else 1
+        net.word[side, np.unique(b[own])] += 1
+        net.gram[side, np.unique(grams[_spread(begin[own], counts[own])])] += 1
+    parts = [np.arange(i, min(len(words), i + 10_000)) for i in range(0, len(words), 10_000)]
+    hashes = lambda u: (b[u], grams[_spread(begin[u], counts[u])], counts[u])
+    table = np.stack([np.concatenate([net.counted(*hashes(u), left) for u in parts]) for left in ((0, 1), (1, 0))])  # by label
+    size = np.array([len(p) for p in docs])
+    flat = np.concatenate(docs)
+    per = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
+    of = np.repeat(np.arange(len(docs)), per)
+    nth = _spread(np.zeros(len(docs), np.int64), per)
+    at = np.repeat(np.cumsum(size) - size, per) + nth * STRIDE
+    left = np.minimum(np.repeat(size, per) - nth * STRIDE, WINDOW)
+    slots = lambda k: flat[np.minimum(at[k][:, None] + np.arange(WINDOW), len(flat) - 1)]
+    masks = lambda k: (np.arange(WINDOW) < left[k][:, None]).astype(np.float32)
     side = labels[of].astype(np.int64)
     weight = np.where(labels == 1, 1 / labels.sum(), clean / (1 - labels).sum()).astype(np.float32)
     mean = {k: np.zeros_like(v) for k, v in net.w.items()}
     square = {k: np.zeros_like(v) for k, v in net.w.items()}
-    step = 0
-    first = np.concatenate([[0], np.cumsum([len(p) for p in ids])[:-1]])
+    step, low = 0, (1 << EMBED_BITS) - 1
+    first = (np.cumsum(per) - per)[per > 0]
+    blocks = [np.arange(i, min(len(of), i + BLOCK)) for i in range(0, len(of), BLOCK)]
     for epoch in range(epochs):
         if epoch == 0:  # the window with the most telling word
-            worst = np.where(mask > 0, table[side[:, None], flat, 0], -9).max(axis=1)
+            worst = np.concatenate([np.where(masks(k) > 0, table[side[k][:, None], slots(k), 0], -9).max(axis=1) for k in blocks])
         else:
-            tables = [net.projected(table[s]) for s in (0, 1)]
-            worst = np.concatenate([net.run(np.where(side[i : i + BLOCK, None, None] == 1, tables[1][flat[i : i + BLOCK]], tables[0][flat[i : i + BLOCK]]), mask[i : i + BLOCK]) for i in range(0, len(of), BLOCK)])
+            worst = np.empty(len(of), np.float32)
+            for s in (0, 1):
+                ready = np.concatenate([net.projected(np.concatenate([table[s, u], net.embedded(*hashes(u))], axis=1)) for u in parts])
+                own = np.flatnonzero(side == s)
+                for k in (own[i : i + BLOCK] for i in range(0, len(own), BLOCK)):
+                    worst[k] = net.run(ready[slots(k)], masks(k))
         order = np.lexsort((-worst, of))
         picks = order[first]
         for k in (1, 2):  # of clean texts two more
             more = order[np.minimum(first + k, len(of) - 1)]
-            picks = np.concatenate([picks, more[(of[more] == np.arange(len(ids))) & (labels == 0)]])
+            picks = np.concatenate([picks, more[(of[more] == of[first]) & (labels[of[more]] == 0)]])
         rng.shuffle(picks)
         for i in range(0, len(picks), batch):
             k = picks[i : i + batch]
-            g = net.gradients(table[side[k][:, None], flat[k]], mask[k], labels[of[k]], weight[of[k]])
+            own, inverse = np.unique(slots(k), return_inverse=True)
+            inverse = inverse.reshape(len(k), WINDOW)
+            word, gram, n = hashes(own)
+            x = np.concatenate([table[side[k][:, None], own[inverse]], net.embedded(word, gram, n)[inverse]], axis=2)
+            g = net.gradients(x, masks(k), labels[of[k]], weight[of[k]])
+            back = np.zeros((len(own), 2 * EMBED), np.float32)
+            np.add.at(back, inverse.ravel(), g.pop("x")[:, COUNTED:])
+            g["word"], g["gram"] = np.zeros_like(net.w["word"]), np.zeros_like(net.w["gram"])
+            np.add.at(g["word"], word & low, back[:, :EMBED])
+            np.add.at(g["gram"], gram & low, np.repeat(back[:, EMBED:] / n[:, None], n, axis=0))
             norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
             step += 1
             for name, v in g.items():
@@ -246,38 +294,26 @@ def train(texts: list[str], y: list[int], epochs: int = 12, batch: int = 128, ra
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Net:
     sample = labelled_sample(docs, labels, label_col, F.lit(True) if usable is None else usable, rows, id_col, text_col)
+    return pickle.loads(train_in_one_task(sample, lambda batches: pickle.dumps(train_batches((c[1], c[2]) for c in batches))))
 
-    def cut_up(cols: list[list]) -> list:
-        out = []
-        for t in cols[1]:
-            ws = (t or "").encode("utf-8", "surrogatepass").split()
-            at = windows(len(ws))
-            at = [at[i] for i in np.unique(np.linspace(0, len(at) - 1, min(len(at), FIT_WINDOWS)).astype(int))] if at else []
-            out.append(b"\n".join(b" ".join(ws[a : a + WINDOW]) for a in at).decode("utf-8", "replace"))
-        return [cols[0], cols[2], out]
 
-    kind = sample.schema["id"].dataType.simpleString()
-    examples = map_batches(sample, cut_up, f"id {kind}, y int, text string")
-    return pickle.loads(train_in_one_task(examples, lambda cols: pickle.dumps(train(cols[2], cols[1]))))
-
-
-def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, worst_word): the probability of the most toxic window, and the number of its first word (-1: none)."""
+def _judge(docs: DataFrame, net: Net) -> Callable[[list], tuple[list, list]]:
+    """What gives texts their scores, and the number of the first word of the worst window."""
     sent = docs.sparkSession.sparkContext.broadcast(net)  # its size is bounded by buckets and weights
     table: list[WordTable] = []
 
-    def run(cols: list[list]) -> list:
+    def judge(texts: list) -> tuple[list, list]:
         model = sent.value
         if not model.w:
-            return [cols[0], [0.0] * len(cols[0]), [-1] * len(cols[0])]
+            return [0.0] * len(texts), [-1] * len(texts)
         if not table:
             table.append(WordTable(lambda ws: model.projected(model.inputs(plain(ws)))))
         scores, places = [], []
-        for a, b in chunks_of(cols[1], 2_000_000):
-            at, counts = table[0].look_up(cols[1][a:b])
+        for a, b in chunks_of(texts, 2_000_000):
+            at, counts = table[0].look_up(texts[a:b])
             per = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - WINDOW) // STRIDE)), 0)
             of = np.repeat(np.arange(b - a), per)
-            nth = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+            nth = _spread(np.zeros(b - a, np.int64), per)
             start = np.repeat(np.cumsum(counts) - counts, per) + nth * STRIDE
             left = np.minimum(np.repeat(counts, per) - nth * STRIDE, WINDOW)
             logit = np.zeros(len(of), np.float32)
@@ -286,21 +322,28 @@ def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "te
                 slots = np.minimum(start[i : i + BLOCK, None] + np.arange(WINDOW), len(at) - 1)
                 logit[i : i + BLOCK] = model.run(table[0].rows[at[slots]], mask.astype(np.float32))
             order = np.lexsort((-logit, of))
-            first = order[np.concatenate([[0], np.cumsum(per)[:-1]])[per > 0].astype(np.int64)] if len(order) else order
+            first = order[(np.cumsum(per) - per)[per > 0]] if len(order) else order
             best, place = np.zeros(b - a), np.full(b - a, -1)
             best[of[first]], place[of[first]] = _sigmoid(logit[first].astype(np.float64)), nth[first] * STRIDE
             scores += best.tolist()
             places += place.tolist()
-        return [cols[0], scores, places]
+        return scores, places
+
+    return judge
+
 
+def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, worst_word): the probability of the most toxic window, and the number of its first word (-1: none)."""
+    judge = _judge(docs, net)
     kind = docs.schema[id_col].dataType.simpleString()
-    out = map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, score double, worst_word long")
+    out = map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), lambda cols: [cols[0], *judge(cols[1])], f"id {kind}, score double, worst_word long")
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_clean(docs: DataFrame, net: Net, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that score less, with their columns as they are. Rows with a null id all stay."""
-    return without(docs, score(docs, net, id_col, text_col).filter(F.col("score") >= least), id_col)
+def keep_clean(docs: DataFrame, net: Net, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score less, with their columns as they are; each is judged where it is read."""
+    judge = _judge(docs, net)
+    return kept_batches(docs, text_col, lambda texts: [x < least for x in judge(texts)[0]])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
