@@ -9,7 +9,8 @@ can. A piece's vector follows from its length, so the plan is made from the
 histogram of lengths (as many classes as a sequence has tokens, at most) over
 runs of alike sequences: its size doesn't grow with the input. Pieces then take
 the planned places by their rank within their length; ranks come from chunks
-of about CHUNK pieces and running sums over the chunks, never from one task.
+of about CHUNK pieces, dealt by row and not by id, and running sums over blocks
+of chunks and over the chunks of a block, never from one task.
 
 Defined results: a null or empty text is the end id alone. Null ids and
 repeated rows are packed like any other row. An empty table gives an empty
@@ -19,15 +20,17 @@ result. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import chunks_of, cut, map_batches
+from .common import chunks_of, cut, hold, map_batches
 
-CHUNK = 250
+#: Pieces whose ranks are made together, and chunks whose sums are.
+CHUNK = 2000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: ASCII punctuation but the apostrophe, which may begin a match with letters.
 _AROUND = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
@@ -41,66 +44,87 @@ class WordIds:
     separate here; others stay within a word for the tokenizer to handle. It
     also lowers case, and a run of punctuation beside a letter or digit is a
     match of its own, so a new word is looked up by its parts: the lower-case
-    core and what surrounds it. New cores of letters go to the tokenizer many
-    at once; each ends with a token that ends a word. The dictionaries are
-    emptied when they hold `most` entries.
+    core and what surrounds it. New cores of ASCII letters are one match each
+    and go to the tokenizer's merges as they are; other letters go to the
+    tokenizer many at once, each ending with a token that ends a word. A text
+    that may hold one of the tokenizer's added tokens goes to it whole. The
+    dictionary of words and parts is emptied when it holds `most` of them.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most, self.known, self.parts = most, {}, {b"": b""}
+        self.merges = self.tokenizer.model
+        self.most, self.known = most, {b"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _learn(self, parts: list[bytes]) -> None:
-        text = {p: p.decode("utf-8", "replace") for p in parts}
-        plain = [p for p in parts if text[p].isalpha()]
-        rest = [p for p in parts if not text[p].isalpha()]
-        for at in range(0, len(plain), 500):
-            some = plain[at : at + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(map(text.__getitem__, some)), add_special_tokens=False).ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
+    def _learn(self, parts: set[bytes]) -> None:
+        plain, rest, own, tokens = [], [], self.known, self.merges.tokenize
+        for p in parts:
+            if p.isalpha():
+                own[p] = array("I", [t.id for t in tokens(p.decode())]).tobytes()
+            else:
+                t = p.decode("utf-8", "replace")
+                (plain if t.isalpha() else rest).append((p, t))
+        groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(t for _, t in g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            last = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(last) == len(some):
                 data = ids.tobytes()
-                for p, a, b in zip(some, [0, *last.tolist()], last.tolist()):
-                    self.parts[p] = data[4 * a : 4 * b]
+                for (p, _), a, b in zip(some, [0, *last], last):
+                    own[p] = data[a:b]
             else:  # not one match each
                 rest += some
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([text[p] for p in some], add_special_tokens=False)):
-                self.parts[p] = np.array(e.ids, "<u4").tobytes()
+            for (p, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
+                own[p] = array("I", e.ids).tobytes()
+
+    def _special(self, text: str | None) -> bool:
+        """Whether an added token may stand in the text, in any case."""
+        return bool(text) and "|" in text and any(t in text.lower() for t in self.added)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text, its ids as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > self.most:
-            self.known = {}
-        if len(self.parts) > self.most:
-            self.parts = {b"": b""}
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        cut = {}
-        for w in set().union(*words).difference(self.known):
-            low = w.translate(_LOWER)
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+            known[b""] = b""
+        whole = {i for i, t in enumerate(texts) if self._special(t)}
+        words = [[] if i in whole else (t or "").encode("utf-8", "surrogatepass").split() for i, t in enumerate(texts)]
+        new = list(set().union(*words).difference(known))
+        lows = b" ".join(new).translate(_LOWER).split(b" ") if new else []
+        simple, cut = [], []
+        for w, low in zip(new, lows):
             core = low.strip(_AROUND)
-            whole = core.decode("utf-8", "replace")
-            if whole and whole[0].isalnum() and whole[-1].isalnum():
-                at = low.index(core)
-                cut[w] = (low[:at], core, low[at + len(core) :])
+            if not core.isalnum():
+                t = core.decode("utf-8", "replace").lower()  # some letters become a letter and a mark
+                if not (t and t[0].isalnum() and t[-1].isalnum()):
+                    core = low
+            if len(core) == len(low):
+                simple.append((w, low))
             else:
-                cut[w] = (b"", low, b"")
-        self._learn(list({p for ps in cut.values() for p in ps}.difference(self.parts)))
-        part = self.parts
-        for w, (a, b, c) in cut.items():
-            self.known[w] = part[a] + part[b] + part[c]
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+                cut.append((w, *low.partition(core)))
+        wanted = {low for _, low in simple}
+        for _, a, b, c in cut:
+            wanted.update((a, b, c))
+        self._learn(wanted.difference(known))
+        known.update([(w, known[low]) for w, low in simple if w != low])
+        known.update([(w, known[a] + known[b] + known[c]) for w, a, b, c in cut])
+        get = known.__getitem__
+        out = [b"".join(map(get, ws)) for ws in words]
+        for i in whole:
+            out[i] = array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        return out
 
 
 _coders: dict[str, WordIds] = {}
+hold("words", _coders.clear)
 
 
 def _coder(path: str) -> WordIds:
@@ -118,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, i
 
     def run(cols: list[list]) -> list:
         out: list[list] = [[] for _ in range(5 + with_ids)]
-        for a, b in chunks_of(cols[1]):
+        for a, b in chunks_of(cols[1], 2_000_000):
             for i, ids in zip(cols[0][a:b], _coder(tokenizer).encode(cols[1][a:b])):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
@@ -130,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, i
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, schema)
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, schema, held="words")
 
 
 def plan(counts: dict[int, int], capacity: tuple[float, float, float], weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), rule: str = "norm") -> np.ndarray:
@@ -175,17 +199,22 @@ def pack(cuts: DataFrame, size: int = 2048, most_docs: int | None = None, most_a
     """cuts with sequence_id and offset added. cuts: written pieces() with id, piece and length.
 
     By default a sequence holds as many documents and as much attention as its
-    tokens allow, so tokens alone bind; lower capacities bind as well.
+    tokens allow: tokens alone bind, for as few sequences as can be, and the
+    other two choose among sequences with equal room. Lower capacities bind.
     """
     spark = cuts.sparkSession
     counts = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # size classes at most
     table = plan(counts, (size, most_docs or size, most_attention or float(size) ** 2), weights, rule)
     chunks = spark.createDataFrame([(k, -(-n // CHUNK)) for k, n in counts.items()], "length long, chunks long")
-    c = cuts.join(F.broadcast(chunks), "length").withColumn("chunk", F.pmod(F.xxhash64("id", "piece"), F.col("chunks"))).drop("chunks")
-    sums = c.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(F.col("length").alias("_length"), F.col("chunk").alias("_chunk"), F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(W.partitionBy("length", "chunk").orderBy("id", "piece"))
+    c = cuts.withColumn("row", F.monotonically_increasing_id())  # stays the same, as cuts are written
+    c = c.join(F.broadcast(chunks), "length").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks"))).drop("chunks")
+    sums = cut(c.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("chunk") / CHUNK)))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("length", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("length", "block", earlier(W.partitionBy("length").orderBy("block")).alias("start"))
+    sums = sums.withColumn("inner", earlier(W.partitionBy("length", "block").orderBy("chunk"))).join(blocks, ["length", "block"])
+    sums = sums.select(F.col("length").alias("_length"), F.col("chunk").alias("_chunk"), (F.col("start") + F.col("inner")).alias("before"))
+    own = F.row_number().over(W.partitionBy("length", "chunk").orderBy("row"))
     c = c.withColumn("own", own - 1)
     c = c.join(sums, (c["length"] == sums["_length"]) & (c["chunk"] == sums["_chunk"])).withColumn("rank", F.col("before") + F.col("own"))
     key = table[:, 0] * (1 << 42) + table[:, 1]  # a length, then a rank
