@@ -7,7 +7,7 @@ import pytest
 
 from nearfold.llm.exact_dedup import drop_exact_copies, exact_groups
 from nearfold.llm.packing import WordIds, packed, plan
-from nearfold.llm.simhash import components, fingerprint, keep_one_of_each, links, near_groups
+from nearfold.llm.simhash import components, fingerprint, links, near_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part long, key string, digit string, fp long"
 
@@ -19,10 +19,11 @@ def frame(spark, rows):
 TRICKY = ["", None, " ", "a", "a b", "a  b", "a\t\nb", "é" * 70, "x" * 64, "x" * 65, "x" * 64 + "y", "x" * 600, "x" * 600 + "z", "A b", " a"]
 
 
-def test_exact_groups_match_brute_force(spark):
+@pytest.mark.parametrize("most_hashes", [0, 2_000_000])  # all texts moved, and only those that may have an equal one
+def test_exact_groups_match_brute_force(spark, most_hashes):
     rng = random.Random(1)
-    rows = [(i, rng.choice(TRICKY + ["q" * 5000 + str(rng.randrange(3))])) for i in range(300)] + [(None, "a b"), (None, None), (7, "a"), (7, "a")]
-    got = exact_groups(frame(spark, rows), first=4).collect()
+    rows = [(i, rng.choice(TRICKY + ["q" * 5000 + str(rng.randrange(3)), " " * 900 + "q", "q " * 700_000 + str(rng.randrange(2))][: 17 + (i < 9)])) for i in range(300)] + [(None, "a b"), (None, None), (7, "a"), (7, "a")]
+    got = exact_groups(frame(spark, rows), first=4, most_hashes=most_hashes).collect()
     assert len(got) == len(rows)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = {}
@@ -38,6 +39,14 @@ def test_exact_copies_leave(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and len(kept.columns) == 9
 
 
+@pytest.mark.parametrize("most_hashes", [0, 2_000_000])
+def test_exact_copies_leave_by_row(spark, most_hashes):
+    rows = [(3, "a b"), (5, "a b"), (5, "only copy of this text"), (None, "a  b"), (None, "x"), (None, "x"), (7, "twice"), (7, "twice"), (8, None), (8, "")]
+    kept = drop_exact_copies(frame(spark, rows), most_hashes=most_hashes)
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == [(0, "x"), (3, "a b"), (5, "only copy of this text"), (7, "twice"), (8, "")]
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [(1, "a")]).filter("false")
     assert exact_groups(empty).count() == 0 and near_groups(empty).count() == 0
@@ -90,7 +99,6 @@ def test_near_groups(spark):
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     assert by[5].component_id == by[9].component_id == 5 and by[3].component_id == by[4].component_id == 3 and by[3].fingerprint == "0" * 16 and by[None].component_id == 2
-    assert sorted(r.doc_id or 0 for r in keep_one_of_each(frame(spark, rows)).collect()) == [0, 2, 3, 5]
 
 
 def test_near_groups_of_documents(spark):
@@ -117,10 +125,11 @@ def test_word_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    texts = ["Hello, World's  end\n\n1234\x85x  y é ́ a ΣΣ <|endoftext|> z", "", "  ", "it's 'LL don't 中文 \x1c a　b İ", None]
+    rng = random.Random(8)
+    texts = ["Hello, World's  end\n\n1234\x85x  y é ́ a ΣΣ <|endoftext|> z", "", "  ", "it's 'LL don't 中文 \x1c a　b İ", None, "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext", "İ> İ- ²½ Ⅷ."]
+    texts += ["".join(rng.choice("aZé'½ ²ß日 <|>endoftx. ́İΣ-0Ⅷ‍") for _ in range(40)) for _ in range(300)]
     for x, ids in zip(texts, WordIds(P.path("word_bpe_49k.json")).encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, x
 
 
 @pytest.mark.parametrize("options", [{}, {"most_docs": 3}, {"most_attention": 5000.0, "rule": "dot"}])

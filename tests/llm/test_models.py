@@ -58,6 +58,39 @@ def test_viterbi_matches_all_paths(lang_model):
             assert abs(value(path[e - c : e]) - best) < 1e-3
 
 
+def test_decoding_in_blocks(monkeypatch, lang_model):
+    rng = np.random.default_rng(3)
+    counts = np.array([0, 2000, 7, 1, 512, 513])
+    scores = rng.normal(0, 8, (counts.sum(), 3)).astype(np.float32)
+    paths = []
+    for block in (3, 64, 512, 10_000):
+        monkeypatch.setattr(language, "BLOCK", block)
+        paths.append(lang_model.label(scores, counts))
+    assert all((p == paths[0]).all() for p in paths)
+
+
+def test_words_change_with_the_script():
+    words = lambda t: [w.decode() for w in language.split(t)]
+    assert words("Hello мир l'été a1 ½") == ["Hello", "мир", "l'été", "a1", "½"]
+    assert words("abcмир中文字符很长ภาษาไทย,x") == ["abc", "мир", "中文字符", "很长", "ภาษา", "ไทย,", "x"]
+    text = "日本語のテキスト and more 中 ½\u3000x"
+    assert "".join(words(text)) == text.replace(" ", "")
+
+
+def test_no_letters_is_und(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the house", "en"), ("中文汉字文", "zh"), ("ภาษาไทยภาษา", "th"), ("½ ² ①", None), ("Ⅷ ⅷ", None), ("the house 中文汉字中文汉字文", None), ("ภาษาไทย中文", None)])]
+    model = language.fit(frame(spark, rows))
+    got = {r.doc_id: r for r in language.identify(frame(spark, rows), model, spans=True).collect()}
+    assert [got[i].lang_pred for i in range(5)] == ["en", "zh", "th", "und", "und"] and got[3].score == 0.0
+    assert [s.lang for s in got[5].spans] == ["en", "zh"] and [s.lang for s in got[6].spans] == ["th", "zh"]
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(1, "abc abd", "xx"), (2, "abc abd", "aa")]
+    model = language.fit(frame(spark, rows))
+    assert {r.lang_pred for r in language.identify(frame(spark, rows), model).collect()} == {"aa"}
+
+
 def test_language_without_labels(spark):
     model = language.fit(frame(spark, [(1, "a b", None)]))
     assert [r.lang_pred for r in language.identify(frame(spark, [(1, "a b", None)]), model).collect()] == ["und"]
@@ -83,8 +116,9 @@ def test_network_gradients():
         return float((weight * (np.logaddexp(0, z) - y * z)).sum() / weight.sum())
 
     grads = net.gradients(x, mask, y, weight)
+    grads["x"] = grads["x"].reshape(x.shape)
     for name, g in grads.items():
-        w = net.w[name]
+        w = x if name == "x" else net.w[name]
         for at in [tuple(rng.integers(0, n) for n in w.shape) for _ in range(3)]:
             was = w[at]
             w[at] = was + 1e-2
@@ -95,6 +129,53 @@ def test_network_gradients():
             assert abs((up - down) / 2e-2 - g[at]) < 2e-3, name
 
 
+def test_embeddings_are_learned(toxic_net):
+    fresh = toxicity._untrained(np.random.default_rng(7))
+    for name in ("word", "gram"):
+        assert np.abs(toxic_net.w[name] - fresh[name]).max() > 0.01
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(9)
+    w = quality.weights(rng)
+    data, size, n = rng.integers(0, 256, (5, quality.CHUNK), dtype=np.uint8), np.array([512, 512, 40, 5, 300]), np.array([3, 1, 1])
+    y, weight = np.array([1.0, 0, 1]), np.array([1.0, 2, 1])
+    grads, _ = quality.gradients(w, data, size, n, y, weight)
+    for name, g in grads.items():
+        for at in [tuple(rng.integers(0, k) for k in g.shape) for _ in range(6)]:
+            was, loss = w[name][at], []
+            for move in (1e-3, -1e-3):
+                w[name][at] = was + move
+                loss.append(quality.gradients(w, data, size, n, y, weight)[1])
+            w[name][at] = was
+            assert abs((loss[0] - loss[1]) / 2e-3 - g[at]) < 2e-3, name
+
+
+def test_long_and_odd_texts_of_quality(spark):
+    rng = random.Random(2)
+    good, bad = (lambda: " ".join(rng.choice(["house", "water", "the"]) for _ in range(60))), (lambda: " ".join(rng.choice(["$$$", "!!", "CLICK"]) for _ in range(60)))
+    net = quality.train([quality.chunked(good() if i % 2 else bad()) for i in range(200)], [i % 2 for i in range(200)])
+    rows = [(1, good(), None), (2, bad(), None), (3, None, None), (4, "", None), (None, good() * 3000, None), (1, good(), None)]
+    got = quality.score(frame(spark, rows), net).collect()
+    by = {r.doc_id: r.score for r in got}
+    assert len(got) == len(rows) and by[1] > 0.5 > by[2] and by[3] == by[4] and by[None] > 0.5 and all(0 <= r.score <= 1 for r in got)
+    tables = net.tables()
+    assert all(abs(r.score - quality.score_text(net, tables, t)) < 1e-6 for r, t in zip(sorted(got, key=lambda r: r.score), sorted([t for _, t, _ in rows], key=lambda t: quality.score_text(net, tables, t))))
+
+
+def test_samples_are_bounded_with_repeated_ids(spark):
+    from nearfold.llm.common import bounded_rows, labelled_sample
+
+    docs = frame(spark, [(i % 3, f"t{i}", "en" if i % 2 else "fr") for i in range(60)] + [(None, "x", "en"), (50, None, "de")])
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (2, 1)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    got = labelled_sample(docs, labels, "toxic", F.lit(True), 1).collect()
+    assert len(got) == 2 and sorted(r.y for r in got) == [0, 1]
+    got = bounded_rows(docs, "doc_id", "lang", 2, "text").collect()
+    assert sorted(r.group for r in got) == ["de", "en", "en", "fr", "fr"]
+
+
 def test_windows_cover_and_overlap():
     for n in range(1, 200):
         at = toxicity.windows(n)
@@ -115,7 +196,7 @@ def toxic_net():
         ws = [word() for _ in range(rng.randrange(5, 80))]
         if i % 3 == 0:
             ws[rng.randrange(len(ws))] = rng.choice(["vilest", "foulest"])
-        texts.append("\n".join(" ".join(ws[a : a + toxicity.WINDOW]) for a in toxicity.windows(len(ws))))
+        texts.append(" ".join(ws))
         y.append(int(i % 3 == 0))
     return toxicity.train(texts, y)
 
@@ -128,7 +209,7 @@ def test_every_window_is_scored(spark, toxic_net):
     by = {r.doc_id: r for r in got}
     assert by[1].score > 0.5 and by[3].score > 0.5 and by[None].score > 0.5 and by[2].score < 0.5 and by[4].score == 0.0
     assert by[3].worst_word <= 6000 < by[3].worst_word + toxicity.WINDOW
-    assert sorted(r.doc_id or 0 for r in toxicity.keep_clean(frame(spark, rows), toxic_net).collect()) == [0, 2, 2, 4, 4]
+    assert sorted(r.doc_id or 0 for r in toxicity.keep_clean(frame(spark, rows), toxic_net).collect()) == [2, 2, 4, 4]
 
 
 def test_batch_scores_match_one_by_one(spark, toxic_net):

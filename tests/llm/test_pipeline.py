@@ -1,6 +1,5 @@
 """The pipeline's stages against brute force on small documents."""
 
-import itertools
 import re
 
 import pytest
@@ -8,7 +7,6 @@ import pytest
 import corpus_pipeline as cp
 from nearfold.llm import language, toxicity
 from nearfold.llm.packing import WordIds
-from nearfold.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +31,7 @@ def test_filters_keep_columns_and_clean_rows(spark, docs):
     assert kept.columns == docs.columns
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     net = toxicity.fit(docs, labels, usable=~toxicity.held_out())
-    want = [-1 if r.doc_id is None else r.doc_id for r in toxicity.score(docs, net).collect() if r.doc_id is None or r.score < 0.5]
+    want = [-1 if r.doc_id is None else r.doc_id for r in toxicity.score(docs, net).collect() if r.score < 0.5]
     assert ids(kept) == sorted(want)
     clean = {r.doc_id for r in labels.filter("toxic = 0").collect()}
     assert len(clean & set(ids(kept))) >= 0.97 * len(clean)
@@ -54,20 +52,23 @@ def test_copies_leave_one_each(spark, docs):
             key = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
             least[key] = min(least.get(key, i), i)
     assert kept.columns == docs.columns and ids(kept) == sorted([-1, *least.values()])
-    near = cp.drop_near_copies(spark, docs, SF)
-    prints = {i: fingerprint(t) for i, t in rows if i is not None}
-    root = {i: i for i in prints}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in itertools.combinations(sorted(prints), 2):
-        if bin(prints[a] ^ prints[b]).count("1") <= 2:
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    assert near.columns == docs.columns and ids(near) == sorted([-1, *{find(i) for i in prints}])
+
+
+def test_rows_are_judged_for_themselves(spark, docs):
+    """Repeated ids of different texts, null ids, and rows that repeat id and text."""
+    some = docs.filter("doc_id < 40").collect()
+    base = [r.asDict() for r in some]
+    odd = [r | {"doc_id": None} for r in base] + [r | {"doc_id": 7} for r in base]
+    both = spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in base + odd], docs.schema)
+    for stage in (cp.drop_toxic, cp.drop_unidentified):
+        kept = [(r.doc_id, r.text) for r in stage(spark, both, SF).collect()]
+        texts = {t for i, t in kept if i is None}
+        assert 0 < len(texts) < len(base) + 1
+        assert sorted(t or "" for i, t in kept if i is None) == sorted(r["text"] or "" for r in base if r["text"] in texts)
+        assert {t for i, t in kept} == texts
+    kept = cp.drop_exact_copies(spark, both, SF).collect()
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    assert sorted(norm(r.text) for r in kept) == sorted({norm(r["text"]) for r in base}) and all(r.doc_id is not None for r in kept)
 
 
 def test_packing_and_whole_run(spark, docs):
