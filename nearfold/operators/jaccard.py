@@ -52,6 +52,6 @@ def similar_pairs(pairs: DataFrame, queries: DataFrame | None = None) -> DataFra
 
 
 def exact_jaccard_topk(pairs: DataFrame, k: int = 5, queries: DataFrame | None = None, digits: int = 6) -> DataFrame:
-    """(item, other, score, rank); ties go to the smaller id."""
-    scored = similar_pairs(pairs, queries).withColumn("score", F.round("score", digits))
-    return topk(scored, ["item"], [F.desc("score"), F.col("other")], k)
+    """(item, other, score, rank); ties go to the smaller id. Ranks follow the unrounded scores."""
+    ranked = topk(similar_pairs(pairs, queries), ["item"], [F.desc("score"), F.col("other")], k)
+    return ranked.withColumn("score", F.round("score", digits))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import PRIME, hash_seeds
-from ..plans.stages import topk
+from ..plans.stages import stable, topk
 
 HASHES, BANDS = 128, 64
 
@@ -24,16 +24,24 @@ def signatures(pairs: DataFrame, num_hashes: int = HASHES, seed: int = 42, eleme
     return least.select("item", F.array(*[F.col(f"m{k}") for k in range(num_hashes)]).alias("sig"))
 
 
-def bands(sigs: DataFrame, num_bands: int = BANDS, rows: int | None = None) -> DataFrame:
-    """(band, key, item): the exact rows of each band are the key, so buckets never merge by chance."""
-    size = F.size("sig") if rows is None else F.lit(rows * num_bands)
+def band_keys(sig: Column, num_bands: int = BANDS, rows: int | None = None) -> Column:
+    """The key of each band: its rows as they are, so buckets never merge by chance."""
+    size = F.size(sig) if rows is None else F.lit(rows * num_bands)
     r = (size / num_bands).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), F.lit(num_bands - 1)), lambda i: F.array_join(F.slice(F.col("sig"), i * r + 1, r).cast("array<string>"), "-"))
-    return sigs.select("item", F.posexplode(cut).alias("band", "key")).select("band", "key", "item")
+    return F.transform(F.sequence(F.lit(0), F.lit(num_bands - 1)), lambda i: F.array_join(F.slice(sig, i * r + 1, r).cast("array<string>"), "-"))
+
+
+def bands(sigs: DataFrame, num_bands: int = BANDS, rows: int | None = None) -> DataFrame:
+    """(band, key, item), a row for each item and band."""
+    return sigs.select("item", F.posexplode(band_keys(F.col("sig"), num_bands, rows)).alias("band", "key")).select("band", "key", "item")
 
 
 def candidates(index: DataFrame, queries: DataFrame | None = None) -> DataFrame:
-    """Distinct (item, other) that share a bucket; queries: column item. An unknown id has none."""
+    """Distinct (item, other) that share a bucket; queries: column item. An unknown id has none.
+
+    Every pair is a row of the result here; similar_topk() is the form that
+    never makes them for items alike.
+    """
     left = index if queries is None else index.join(queries.select("item").distinct(), "item", "left_semi")
     a, b = left.alias("a"), index.select("band", "key", F.col("item").alias("other")).alias("b")
     on = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
@@ -55,6 +63,30 @@ def lsh_topk(index: DataFrame, sigs: DataFrame, k: int = 5, queries: DataFrame |
     return topk(c.select("item", "other", estimate(F.col("sa"), F.col("sb")).alias("score")), ["item"], [F.desc("score"), F.col("other")], k)
 
 
+def similar_topk(sigs: DataFrame, k: int = 5, num_bands: int = BANDS, rows: int | None = None) -> DataFrame:
+    """lsh_topk() of all items, from their signatures, with equal signatures folded.
+
+    Items with one signature are one group, named by its smallest id: only
+    groups are banded, meet and are compared, so ten thousand items of one and
+    the same user cost what one of them does. A group needs its k best groups,
+    by score and smallest id, and of each the k smallest ids: a place in an
+    item's first k is never given to another group or member. Its own members
+    score 1, k + 1 of them leave k beside the item itself.
+    """
+    groups = stable(sigs.groupBy("sig").agg(F.min("item").alias("item")))  # partial minima: a crowded signature sends a row a partition
+    alike = stable(sigs.join(groups.withColumnRenamed("item", "_first"), "sig").select("item", "_first"))
+    first = stable(topk(alike, ["_first"], [F.col("item")], k + 1, "_place"))
+    best = lsh_topk(bands(groups, num_bands, rows), groups, k).select(F.col("item").alias("_first"), F.col("other").alias("_group"), "score")
+    near = best.join(first.filter(F.col("_place") <= k).select(F.col("_first").alias("_group"), F.col("item").alias("other")), "_group")
+    near = topk(near.select("_first", "other", "score"), ["_first"], [F.desc("score"), F.col("other")], k, "_place").drop("_place")
+    near = near.unionByName(first.select("_first", F.col("item").alias("other"), F.lit(1.0).alias("score")))
+    lists = near.groupBy("_first").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("low"), "other"))).alias("_near"))  # at most 2 k + 1
+    out = alike.select("item", "_first").join(lists, "_first")
+    mine = F.slice(F.filter("_near", lambda x: x["other"] != F.col("item")), 1, k)
+    out = out.select("item", F.posexplode(mine).alias("_at", "_x"))
+    return out.select("item", F.col("_x.other").alias("other"), (-F.col("_x.low")).alias("score"), (F.col("_at") + 1).alias("rank"))
+
+
 def bucket_sizes(index: DataFrame) -> DataFrame:
     """(size, buckets): how many buckets have how many items."""
     sizes = index.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
@@ -72,6 +104,22 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return tuple(spark.read.parquet(f"{path}/{t}") for t in ("signatures", "bands", "titles"))
 
 
+def query_index(spark: SparkSession, path: str, item: int, k: int = 5, num_bands: int = BANDS, rows: int | None = None) -> DataFrame:
+    """(item, other, score, rank) of one item over a saved index, which isn't built again.
+
+    The one signature gives a key for each band; those rows are sent to the
+    buckets, and only the signatures of what they meet are read on. An id
+    without a signature stands for the smallest one; an empty index has no
+    neighbours.
+    """
+    sigs, index, _ = load_index(spark, path)
+    one = sigs.join(F.broadcast(query_or_first(sigs, item)), "item")  # one row
+    keys = one.select(F.col("item").alias("_item"), F.col("sig").alias("_sig"), F.posexplode(band_keys(F.col("sig"), num_bands, rows)).alias("band", "key"))
+    met = index.join(F.broadcast(keys), ["band", "key"]).filter("item <> _item").select(F.col("_item").alias("item"), F.col("item").alias("other"), "_sig")
+    met = met.groupBy("item", "other").agg(F.first("_sig").alias("_sig")).join(sigs.select(F.col("item").alias("other"), "sig"), "other")
+    return topk(met.select("item", "other", estimate(F.col("_sig"), F.col("sig")).alias("score")), ["item"], [F.desc("score"), F.col("other")], k)
+
+
 def query_or_first(sigs: DataFrame, item: int) -> DataFrame:
     """One row (item): the id if it has a signature, else the smallest id."""
     return sigs.agg(F.coalesce(F.max(F.when(F.col("item") == item, F.col("item"))), F.min("item")).alias("item"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import PRIME, hash_seeds, text_element
 from ..operators import bpr, interactions, jaccard, kmeans, metrics, minhash, recommend, reports, text
-from .stages import stable
+from ..sources import files as sources
+from .stages import computed, dense_index, kept_folder, stable
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 WIDTH = 8  # of the factors that hashes stand in for
@@ -66,8 +67,8 @@ _S = f"""{_I}, s AS (
 _P = f"""{_I}, p AS (SELECT DISTINCT item, "user" FROM i WHERE rating >= 3)"""
 _JACCARD = f"""{_P}, n AS (SELECT item, count(*) AS n FROM p GROUP BY item),
 c AS (SELECT a.item, b.item AS other, count(*) AS k FROM p a JOIN p b ON a."user" = b."user" AND a.item <> b.item GROUP BY ALL),
-j AS (SELECT c.item, c.other, round(k / (x.n + y.n - k), 6) AS score FROM c JOIN n x ON x.item = c.item JOIN n y ON y.item = c.other),
-truth AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, other) AS INTEGER) AS rank FROM j QUALIFY rank <= 5)"""
+j AS (SELECT c.item, c.other, k / (x.n + y.n - k) AS score FROM c JOIN n x ON x.item = c.item JOIN n y ON y.item = c.other),
+truth AS (SELECT item, other, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY item ORDER BY j.score DESC, other) AS INTEGER) AS rank FROM j QUALIFY rank <= 5)"""
 
 
 def _sigs(elements: str) -> str:
@@ -90,12 +91,12 @@ _E = """e AS (SELECT item, "user" AS x FROM p)"""
 _MINHASH = f"{_P}, {_E}, {_sigs('e')}"
 
 
-def _tfidf_sql() -> str:
+def _tfidf_sql(table: str = "documents", key: str = "doc_id", body: str = "text") -> str:
     stop = ", ".join(f"'{w}'" for w in text.english())
-    return rf"""t AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM documents),
+    return rf"""t AS (SELECT {key} AS doc, unnest(regexp_extract_all(lower(coalesce({body}, '')), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM {table}),
 tf AS (SELECT doc, term, count(*) AS tf FROM t WHERE term NOT IN ({stop}) GROUP BY doc, term),
 vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS df FROM tf GROUP BY term ORDER BY n DESC, term LIMIT 50000),
-raw AS (SELECT doc, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS raw FROM tf JOIN vocab USING (term)),
+raw AS (SELECT doc, term, tf * (ln((1 + (SELECT count(*) FROM {table})) / (1 + df)) + 1) AS raw FROM tf JOIN vocab USING (term)),
 w AS (SELECT doc, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS weight FROM raw)"""
 
 
@@ -283,7 +284,7 @@ def _index(spark, d, bands=64, rows=2):
 
 @_query(f"WITH {_MINHASH}, {_lsh(64, 2)} SELECT item, other, score, rank FROM top")
 def lsh_topk(spark, d):
-    return _int_rank(minhash.lsh_topk(*_index(spark, d)))
+    return _int_rank(minhash.similar_topk(stable(minhash.signatures(_pairs(spark, d)))))
 
 
 @_query(f"""WITH {_MINHASH}, {_lsh(64, 2)}, one AS (SELECT coalesce(max(CASE WHEN item = 250 THEN item END), min(item)) AS item FROM sig)
@@ -293,20 +294,28 @@ def lsh_query_one(spark, d):
     return _int_rank(minhash.lsh_topk(index, sigs, 5, minhash.query_or_first(sigs, 250)))
 
 
+@_query(SQL["lsh_query_one"])
+def lsh_query_saved(spark, d):
+    """The same from an index that is saved, then read: the query itself reads one band key a band and the signatures these meet."""
+    index, sigs = _index(spark, d)
+    with kept_folder(spark, "index") as path:
+        minhash.save_index(path, sigs, index, _meta(spark, d).withColumnRenamed("parent_asin", "item"))
+        return computed(_int_rank(minhash.query_index(spark, path, 250)))
+
+
 _RECALL = "(SELECT coalesce(avg(r), 0) FROM (SELECT count(x.other) / count(*) AS r FROM truth LEFT JOIN {} x ON x.item = truth.item AND x.other = truth.other GROUP BY truth.item))"
 
 
 @_query(f"WITH {_JACCARD}, {_E}, {_sigs('e')}, {_lsh(64, 2)} SELECT round({_RECALL.format('top')}, 6) AS recall")
 def lsh_recall_at_5(spark, d):
-    found = minhash.lsh_topk(*_index(spark, d))
+    found = minhash.similar_topk(stable(minhash.signatures(_pairs(spark, d))))
     return metrics.recall_at_k(found, jaccard.exact_jaccard_topk(_pairs(spark, d))).select(F.round("recall", 6).alias("recall"))
 
 
 @_query(f"WITH {_MINHASH}, {_lsh(25, 5)} SELECT item, other, score, rank FROM top")
 def lsh_comparator(spark, d):
     """The banding that a threshold of 0.5 asks for."""
-    index, sigs = _index(spark, d, 25, 5)
-    return _int_rank(minhash.lsh_topk(index, sigs))
+    return _int_rank(minhash.similar_topk(stable(minhash.signatures(_pairs(spark, d))), 5, 25, 5))
 
 
 @_query(f"WITH {_MINHASH}, {_lsh(64, 2)} SELECT size, count(*) AS buckets FROM (SELECT count(*) AS size FROM b GROUP BY band, key) GROUP BY size")
@@ -319,7 +328,7 @@ SELECT 'recall_at_5' AS metric, ours, other, CASE WHEN ours = other THEN 'tie' W
 def benchmark_summary(spark, d):
     sigs = stable(minhash.signatures(_pairs(spark, d)))
     truth = stable(jaccard.exact_jaccard_topk(_pairs(spark, d)))
-    value = lambda b, r: round(metrics.recall_at_k(minhash.lsh_topk(stable(minhash.bands(sigs, b, r)), sigs), truth).first()[0], 6)
+    value = lambda b, r: round(metrics.recall_at_k(minhash.similar_topk(sigs, 5, b, r), truth).first()[0], 6)
     return metrics.comparison({"recall_at_5": value(64, 2)}, {"recall_at_5": value(25, 5)}, spark, set())
 
 
@@ -328,7 +337,7 @@ e AS (SELECT item, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % {PRIME} AS
 def doc_near_dup_lsh(spark, d):
     t = _table(spark, d, "documents").select(F.col("doc_id").alias("item"), F.explode(text.tokens(F.col("text"))).alias("term"))
     sigs = stable(minhash.signatures(t.select("item", text_element(F.col("term")).alias("x")), element="x"))
-    return _int_rank(minhash.lsh_topk(stable(minhash.bands(sigs, 16, 8)), sigs))
+    return _int_rank(minhash.similar_topk(sigs, 5, 16, 8))
 
 
 @_query(f"WITH {_tfidf_sql()} SELECT term, n, df FROM vocab")
@@ -424,25 +433,60 @@ SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY weight DES
 def cluster_top_terms(spark, d):
     """Languages stand in for clusters, so that the result can be repeated."""
     docs = _table(spark, d, "documents")
-    langs = sorted(r[0] for r in docs.select("lang").distinct().collect())
-    number = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
-    return _int_rank(kmeans.cluster_terms(text.tfidf(docs), docs.select(F.col("doc_id").alias("id"), number.cast("int").alias("cluster"))))
+    number = dense_index(docs.select("lang").distinct(), [F.asc_nulls_last("lang")], "cluster").select(F.col("lang").alias("_lang"), F.col("cluster").cast("int").alias("cluster"))
+    clusters = docs.join(F.broadcast(number), F.col("lang").eqNullSafe(F.col("_lang"))).select(F.col("doc_id").alias("id"), "cluster")  # a language a row
+    return _int_rank(kmeans.cluster_terms(text.tfidf(docs), clusters))
 
 
-@_query()
+def _lloyd(k: int, steps: int, points: str = "pt", tag: str = "") -> str:
+    """CTEs: c{tag}_0 .. c{tag}_{steps}, the centroids before and after each step, from the first k points in hash order. Clusters are taken to stay filled."""
+    out = [f"c{tag}_0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY md5('42|' || id), id) - 1 AS INTEGER) AS cluster, v AS c FROM {points} QUALIFY cluster < {k})"]
+    for i in range(steps):
+        out += [
+            f"a{tag}_{i} AS MATERIALIZED ({_nearest(f'c{tag}_{i}', points)})",
+            f"c{tag}_{i + 1} AS MATERIALIZED (SELECT cluster, list(x ORDER BY dim) AS c FROM (SELECT cluster, dim, avg(v[dim]) AS x FROM a{tag}_{i}, range(1, 65) r(dim) GROUP BY ALL) GROUP BY cluster)",
+        ]
+    return ",\n".join(out)
+
+
+def _nearest(centres: str, points: str = "pt") -> str:
+    distance = "greatest(list_dot_product(v, v) + list_dot_product(c, c) - 2 * list_dot_product(v, c), 0)"
+    return f"SELECT id, v, cluster, {distance} AS dist FROM {points}, {centres} QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, cluster) = 1"
+
+
+_PT = _CENTRES.split(",\nc0")[0]
+
+
+def _labels(df: DataFrame) -> DataFrame:
+    return df.select("id", "cluster", F.round("dist", 6).alias("dist"))
+
+
+@_query(f"WITH {_PT}, {_lloyd(10, 20)} SELECT id, cluster, round(dist, 6) AS dist FROM ({_nearest('c_20')})")
 def kmeans_fit(spark, d):
-    return kmeans.KMeans(10, 20, 1e-3).fit(_table(spark, d, "embeddings"), "vec_id", "embedding").labels
+    """All 20 steps, which a tolerance of 0 asks for."""
+    return _labels(kmeans.KMeans(10, 20, 0.0).fit(_table(spark, d, "embeddings"), "vec_id", "embedding").labels)
 
 
-@_query()
+@_query(f"WITH {_PT}, {_lloyd(10, 5)} SELECT id, a_4.cluster, round(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) ** 2)), 6) AS dist FROM a_4 JOIN c_5 ON c_5.cluster = a_4.cluster")
 def kmeans_strict(spark, d):
     """Labels from before the last update."""
-    return kmeans.KMeans(10, 5, 1e-3, strict_labels=True).fit(_table(spark, d, "embeddings"), "vec_id", "embedding").labels
+    return _labels(kmeans.KMeans(10, 5, 0.0, strict_labels=True).fit(_table(spark, d, "embeddings"), "vec_id", "embedding").labels)
 
 
-@_query()
+@_query(f"WITH {_PT}, few AS (SELECT * FROM pt ORDER BY id LIMIT 10000), {_lloyd(10, 5, 'few')} SELECT id, cluster, round(dist, 6) AS dist FROM ({_nearest('c_5')})")
+def kmeans_transform(spark, d):
+    """Fitted on the first 10,000 rows, which is the feature; every row is assigned."""
+    v = _table(spark, d, "embeddings")
+    model = kmeans.KMeans(10, 5, 0.0).fit(interactions.prefix(v, ["vec_id"], 10_000), "vec_id", "embedding")
+    return _labels(model.transform(v, "vec_id", "embedding"))
+
+
+_ELBOW = (5, 10, 20)
+
+
+@_query(f"WITH {_PT}, " + ", ".join(_lloyd(k, 8, "pt", str(k)) for k in _ELBOW) + " " + " UNION ALL ".join(f"SELECT {k} AS k, round(sum(dist), 4) AS inertia FROM ({_nearest(f'c{k}_8')})" for k in _ELBOW))
 def kmeans_elbow(spark, d):
-    return kmeans.elbow(_table(spark, d, "embeddings"), (5, 10, 20), 8, 1e-3, 42, "vec_id", "embedding")
+    return kmeans.elbow(_table(spark, d, "embeddings"), _ELBOW, 8, 0.0, 42, "vec_id", "embedding").withColumn("inertia", F.round("inertia", 4))
 
 
 @_query()
@@ -550,3 +594,67 @@ def lsh_report(spark, d):
     index, sigs = _index(spark, d)
     q = stable(interactions.sample_keys(sigs, "item", 10))
     return reports.neighbour_lines(stable(minhash.lsh_topk(index, sigs, 5, q)), q)
+
+
+@_query(f"""WITH {_tfidf_sql()}, {_TOP_COSINE}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, other) AS rank FROM cs QUALIFY rank <= 5)
+SELECT doc AS item, 0 AS line_no, 'Query ' || doc AS line FROM q
+UNION ALL SELECT query, rank, printf('  %2d. %d  score=%.4f', rank, other, round(score, 4)) FROM r
+UNION ALL SELECT doc, 1, '  (No candidates found)' FROM q ANTI JOIN r ON r.query = q.doc""")
+def tfidf_report(spark, d):
+    w = stable(text.tfidf(_table(spark, d, "documents")))
+    q = stable(interactions.sample_keys(w, "doc", 10))
+    return reports.neighbour_lines(stable(text.cosine_topk(w, q).withColumnRenamed("query", "item")), q.withColumnRenamed("doc", "item"))
+
+
+@_query(f"""WITH {_CENTRES}, named AS (SELECT id, cluster, p_name AS title FROM a0 JOIN part ON p_partkey = id), {_tfidf_sql("named", "id", "title")},
+g AS (SELECT cluster, term, sum(weight) AS s FROM w JOIN named ON id = doc GROUP BY ALL), z AS (SELECT cluster, count(*) AS n FROM named GROUP BY cluster),
+f AS (SELECT cluster, term, round(s / n, 6) AS weight FROM g JOIN z USING (cluster)),
+top AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS rank FROM f QUALIFY rank <= 10)
+SELECT cluster, 0 AS line_no, 'Cluster ' || cluster || ': ' || string_agg(term, ', ' ORDER BY rank) AS line FROM top GROUP BY cluster
+UNION ALL SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY id) AS INTEGER) AS line_no, '  - ' || title FROM named WHERE title IS NOT NULL QUALIFY line_no <= 5""")
+def cluster_report(spark, d):
+    p = _points(spark, d)
+    titles = _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    named = stable(kmeans.assign(p, kmeans.initial_centroids(p, 10)).select("id", "cluster").join(titles, "id"))
+    terms = kmeans.cluster_terms(text.tfidf(named, "id", "title"), named)
+    return reports.cluster_lines(terms, kmeans.cluster_samples(named, ["id"])).withColumn("line_no", F.col("line_no").cast("int"))
+
+
+def _files(rows: DataFrame, path: str) -> str:
+    """rows as gz CSV with a header; user_id, parent_asin, rating, timestamp."""
+    cols = [F.col("user").cast("string").alias("user_id"), F.col("item").cast("string").alias("parent_asin"), "rating", F.unix_date("timestamp").alias("timestamp")]
+    rows.select(*cols).write.option("header", True).option("compression", "gzip").csv(path)
+    return path
+
+
+def _meta_file(spark, d, path: str) -> str:
+    _meta(spark, d).select(F.col("parent_asin").cast("string"), "title").write.option("compression", "gzip").json(path)
+    return path
+
+
+_TITLE = "t AS (SELECT DISTINCT p_partkey, p_name FROM part)"
+_BY_TITLE = "count(*) AS n, count(DISTINCT \"user\") AS users, CAST(min(datediff('day', DATE '1970-01-01', ts)) AS BIGINT) AS earliest"
+
+
+@_query(f"""WITH {_I}, {_TITLE} SELECT p_name AS title, rating, {_BY_TITLE} FROM i LEFT JOIN t ON p_partkey = item GROUP BY ALL""")
+def sources_interactions(spark, d):
+    """Interactions out of gz CSV and gz JSON lines, by title and rating."""
+    with kept_folder(spark, "sources") as path:
+        got = sources.load_interactions(spark, _files(_rows(spark, d), f"{path}/reviews"), _meta_file(spark, d, f"{path}/meta"))
+        return computed(_by_title(got, "title", "rating"))
+
+
+@_query(f"""WITH {_S}, {_TITLE} SELECT split, p_name AS title, {_BY_TITLE} FROM s JOIN t ON p_partkey = item SEMI JOIN (SELECT "user" FROM s WHERE split = 'train') k ON k."user" = s."user" GROUP BY ALL""")
+def sources_splits(spark, d):
+    """Training, validation and test rows out of three gz CSV files and metadata, by title."""
+    s = stable(_split(spark, d))
+    with kept_folder(spark, "sources") as path:
+        names = ("train", "valid", "test")
+        got = sources.load_splits(spark, *[_files(_part(s, n), f"{path}/{n}") for n in names], _meta_file(spark, d, f"{path}/meta"))
+        a, b, c = (p.withColumn("split", F.lit(n)) for p, n in zip(got, names))
+        return computed(_by_title(a.unionByName(b).unionByName(c), "split", "title"))
+
+
+def _by_title(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_idx").alias("users"), F.min("timestamp").cast("long").alias("earliest"))
+

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -15,6 +20,33 @@ def stable(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+@contextmanager
+def kept_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; it is deleted at the end.
+
+    Only a session on one machine that has set none gets a temporary one.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.gettempdir()
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def computed(df: DataFrame) -> DataFrame:
+    """df as stable() gives it, computed now: what it was read from may go."""
+    df = stable(df)
+    df.count()
+    return df
+
+
 def topk(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each key in a total order. Catalyst limits each partition before the shuffle."""
     r = F.row_number().over(W.partitionBy(*keys).orderBy(*order))

@@ -3,12 +3,14 @@
 import gzip
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from nearfold.functions.hashing import PRIME, hash_seeds
 from nearfold.operators import bpr, interactions, jaccard, kmeans, metrics, minhash, recommend, reports, text
+from nearfold.plans import stages
 from nearfold.plans.stages import dense_index, maybe_broadcast, topk
 from nearfold.sources import files
 
@@ -81,6 +83,43 @@ def test_exact_jaccard(spark):
     assert spark.range(1).select(jaccard.jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3))), jaccard.jaccard(empty, empty)).first()[:] == (1 / 3, 0.0)
 
 
+def test_equal_signatures_are_folded(spark):
+    rng = random.Random(3)
+    rows = [(i, u) for i in range(120) for u in rng.sample(range(40), rng.choice([1, 1, 2, 3]))] + [(i, 7) for i in range(1000, 1030)]
+    sigs = minhash.signatures(spark.createDataFrame(rows, "item long, user long")).cache()
+    want = minhash.lsh_topk(minhash.bands(sigs), sigs, 4).collect()
+    assert sorted(minhash.similar_topk(sigs, 4).collect()) == sorted(want)
+    crowd = spark.range(10_000).select(F.col("id").alias("item"), F.lit(1).alias("user"))
+    got = minhash.similar_topk(minhash.signatures(crowd), 3)
+    assert got.count() == 30_000 and got.filter("score <> 1").count() == 0
+    assert [r.other for r in got.filter("item = 1").orderBy("rank").collect()] == [0, 2, 3]
+    assert minhash.similar_topk(sigs.filter("false")).count() == 0
+
+
+def test_saved_index_answers_like_the_index(spark, tmp_path):
+    pairs = spark.createDataFrame([(i, u) for i in range(1, 30) for u in range(i % 5, i % 5 + 4)], "item long, user long")
+    sigs = minhash.signatures(pairs)
+    index = minhash.bands(sigs)
+    minhash.save_index(str(tmp_path), sigs, index, spark.createDataFrame([(1, "t")], "item long, title string"))
+    for item in (3, 29, 999):
+        want = minhash.lsh_topk(index, sigs, 5, minhash.query_or_first(sigs, item)).collect()
+        assert sorted(minhash.query_index(spark, str(tmp_path), item).collect()) == sorted(want)
+
+
+def test_ranks_follow_unrounded_scores(spark):
+    pairs = spark.createDataFrame([(1, u) for u in range(3000)] + [(2, u) for u in range(1, 3000)] + [(3, u) for u in range(3000)], "item long, user long")
+    got = jaccard.exact_jaccard_topk(pairs, 2, spark.createDataFrame([(1,)], "item long"), digits=2).collect()
+    assert [(r.other, r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(3, 1), (2, 2)]
+
+
+def test_kept_folder_goes(spark):
+    with stages.kept_folder(spark, "x") as path:
+        spark.range(3).write.parquet(path)
+        assert stages.computed(spark.read.parquet(path)).count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+
+
 def test_minhash_index(spark, tmp_path):
     pairs = spark.createDataFrame(PAIRS, "item long, user long")
     sigs = minhash.signatures(pairs)
