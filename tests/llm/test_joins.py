@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfold.llm import licenses, url_filter
-from nearfold.llm.mtree import Tree, top_k
+from nearfold.llm.mtree import Regions, Tree, top_k
 
 
 def brute_top(rows, k, asked):
@@ -69,6 +69,33 @@ def test_as_of_evaluation(spark):
     assert not any(r.blocked for r in url_filter.evaluate(captures, events.filter("false")).collect())
 
 
+def test_regions_prune_and_lose_nothing(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (6, 5))
+    x = np.floor(256 * (centres[rng.integers(0, 6, 700)] + rng.normal(0, 0.05, (700, 5)))) / 256
+    x[100:400] = x[100]  # copies of one vector, more than a part holds
+    rows = [(int(i), [float(a) for a in v]) for i, v in enumerate(x)] + [(50, [float(a) for a in x[3]]), (50, [1.0, 2.0]), (7, [1.0, -2.0]), (150, [])]
+    ints = [(i, [int(np.floor(256 * a)) for a in v]) for i, v in rows]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(frame, F.col("vec_id") % 50 == 0, shard=40, block=5, pivots=9).collect()
+    want = {}
+    for q, _, i, s in brute_top_all(ints, lambda q: q % 50 == 0):
+        want.setdefault(q, []).append((-s, i))
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted((q, n + 1, i, -s) for q, w in want.items() for n, (s, i) in enumerate(sorted(w)[:5]))
+    regions = Regions([v * 256 for v in x[::70]])
+    near, far = regions.place(x * 256)
+    regions.learn([(5, int(r), int((near == r).sum()), float(far[near == r].max())) for r in set(near)])
+    bound, scores = regions.products(x[:50] * 256)[1], (x * 256) @ (x[:50] * 256).T
+    for column, r in enumerate(regions.known[5][0]):
+        assert (scores[near == r].max(axis=0) <= bound[:, column]).all()
+    assert (bound < np.sort(scores, axis=0)[-6][:, None]).mean() > 0.2  # regions that needn't be visited
+
+
+def brute_top_all(rows, asked):
+    """Every (query, 0, id, score) of rows with other ids and as many components."""
+    return [(q, 0, i, sum(a * b for a, b in zip(qv, v))) for q, qv in rows if asked(q) for i, v in rows if i != q and len(v) == len(qv)]
+
+
 def test_licence_forms_and_edges(spark):
     mit = licenses.LICENSES[0][1]
     variant = "Copyright (c) 2020 Jane Doe\nAll rights reserved.\n\n" + mit.replace("Software", "software").replace(",", " ,").replace(" ", "\n  ")
