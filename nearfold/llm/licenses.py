@@ -4,7 +4,8 @@ A text's canonical form is ASCII lower case without copyright lines, with every
 other sign than letters and digits as one space and equivalent spellings made
 alike. Its SHA-256 is joined with the digests of known licence texts. Entire
 texts are compared: the whole document, and each of its lines as a text of its
-own, which is how short licence notices stand in documents.
+own, which is how short licence notices stand in documents. A known text is
+listed with and without its usual titles, so titles cost a scan nothing.
 
 Defined results: a null text is empty; an empty canonical form has no digest
 and matches nothing. Null ids and repeated rows are kept, a document's notices
@@ -40,6 +41,47 @@ LICENSES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Clauses of the BSD licences, which files number or not.
+_BSD = [
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+]
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
+
+def _bsd(clauses: int) -> list[str]:
+    numbered = [[f"{k + 1}. {c}" for k, c in enumerate(_BSD[:clauses])], _BSD[:clauses]]
+    return [" ".join([_BSD_HEAD, *lines, _BSD_TAIL.format(who)]) for lines in numbered for who in ("HOLDER", "OWNER")]
+
+
+LICENSES += [("BSD-2-Clause", t) for t in _bsd(2)] + [("BSD-3-Clause", t) for t in _bsd(3)]
+#: Titles that files of a licence start with.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "The BSD 3-Clause License", "BSD License"],
+}
+#: Digests of the canonical forms of long licences as their publishers print them; to be made
+#: anew by canonical_text() when the canonical form changes. Further ones of a licence are its text without
+#: what follows "END OF TERMS AND CONDITIONS", for the Apache licence also without that line.
+FULL_TEXTS = [
+    ("Apache-2.0", "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184"),
+    ("Apache-2.0", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),
+    ("Apache-2.0", "37599287c15c2f2ec060c3c3b55bdf69e3bc7a8aeeb9cd57e18800088789538a"),
+    ("CC0-1.0", "0c3e4ca5ed7ced6289d3f5d9a83e4100f9f34d87983b17dc5865376a8a0a98f3"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "9672a697b80e59f5b1b0201e64d65dee8762b193cdd934dc5bcf2b57350a2ead"),
+]
 #: Spellings that count as the same word.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("organisation", "organization"), ("authorised", "authorized"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("sub license", "sublicense"), ("v", "version"), ("https", "http")]
 
@@ -68,9 +110,14 @@ def canonical_text(text: str) -> str:
     return t.strip(" ")
 
 
-def digests(licenses: list[tuple[str, str]] = LICENSES) -> list[tuple[str, str]]:
-    """(digest, licence id), one for each canonical text."""
-    return sorted({hashlib.sha256(canonical_text(t).encode()).hexdigest(): i for i, t in licenses}.items())
+def digest(text: str) -> str:
+    return hashlib.sha256(canonical_text(text).encode()).hexdigest()
+
+
+def digests(licenses: list[tuple[str, str]] = LICENSES, full_texts: list[tuple[str, str]] = FULL_TEXTS, titles: dict[str, list[str]] = TITLES) -> list[tuple[str, str]]:
+    """(digest, licence id), one for each canonical text; texts with a title on a line before them count as well."""
+    titled = [(i, f"{title}\n\n{t}") for i, t in licenses for title in titles.get(i, [])]
+    return sorted({**{d: i for i, d in full_texts}, **{digest(t): i for i, t in [*titled, *licenses]}}.items())
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
@@ -92,7 +139,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     lines = base.select(key, F.explode(F.split(F.translate("text", "\r", "\n"), "\n")).alias("line")).filter(F.col("line").rlike("[a-zA-Z]"))
     lines = lines.select("key", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(side, "digest")
     lines = cut(lines.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices")))  # one row a text, however many copies
-    out = base.select("id", F.when(F.length(form) > 0, F.sha2(form, 256)).alias("text_digest"), key)
+    out = base.select("id", key, form.alias("form")).select("id", "key", F.when(F.length("form") > 0, F.sha2("form", 256)).alias("text_digest"))  # a form is made once
     out = out.join(side.withColumnRenamed("digest", "text_digest"), "text_digest", "left").join(lines, "key", "left")
     return out.select(F.col("id").alias(id_col), "text_digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 

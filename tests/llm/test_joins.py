@@ -1,5 +1,6 @@
 import datetime
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -111,6 +112,24 @@ def test_licence_forms_and_edges(spark):
     assert licenses.scan(docs.filter("false")).count() == 0
 
 
+def test_licence_titles_and_clauses(spark):
+    texts = dict(licenses.LICENSES[::-1])
+    mit = licenses.LICENSES[0][1]
+    three = texts["BSD-3-Clause"].replace("THIS SOFTWARE", "\n\nTHIS SOFTWARE")
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + mit), (2, "The MIT License (MIT)\r\n\r\n" + mit), (3, "BSD 3-Clause License\n\nCopyright (c) 2021, A\nAll rights reserved.\n\n" + three), (4, texts["BSD-2-Clause"]), (5, "Some License\n\n" + mit), (6, "MIT License")]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "BSD-2-Clause", 5: None, 6: None}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="the system keeps no licence texts")
+def test_whole_licence_files(spark):
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    read = lambda f: Path(f"/usr/share/common-licenses/{f}").read_text()
+    rows = [(k, read(f)) for k, f in enumerate(files)] + [(99, read("GPL-3").replace("freedom", "fredom"))]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(enumerate(files.values())), 99: None}
+
+
 def test_licence_scan_is_native(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = licenses.scan(docs)._jdf.queryExecution().toString()
