@@ -123,8 +123,3 @@ def query_index(spark: SparkSession, path: str, item: int, k: int = 5, num_bands
 def query_or_first(sigs: DataFrame, item: int) -> DataFrame:
     """One row (item): the id if it has a signature, else the smallest id."""
     return sigs.agg(F.coalesce(F.max(F.when(F.col("item") == item, F.col("item"))), F.min("item")).alias("item"))
-
-
-def mean_similarity_queries(recs: DataFrame) -> DataFrame:
-    """(item, mean_score, n) of each query's neighbours."""
-    return recs.groupBy("item").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count(F.lit(1)).alias("n"))

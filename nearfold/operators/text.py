@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.vectors import dot, squared_norm
-from ..plans.stages import maybe_broadcast, topk
+from ..functions.vectors import squared_norm
+from ..plans.stages import maybe_broadcast, small_enough, topk
+from .recommend import best_of_block, recommend_topk
 
 FEATURES = 50_000
 
@@ -87,14 +92,33 @@ def cosine_topk(weights: DataFrame, queries: DataFrame, k: int = 5, all_docs: Da
     return topk(scored, ["query"], [F.desc("score"), F.col("other")], k)
 
 
-def dense_cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 5) -> DataFrame:
-    """(query, other, score, rank) over dense vectors; a stated query set against all rows."""
+def dense_cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 5, sent_queries: int = 10_000) -> DataFrame:
+    """(query, other, score, rank) over dense vectors of one length; a stated query set against all rows. Ties go to the smaller id.
+
+    Up to sent_queries queries go along with the tasks: each batch of rows
+    meets them in matrix products and gives its k best a query. More queries
+    and the rows are dealt in blocks that meet block by block. Null ids, and
+    vectors that are null, hold null, NaN or infinity or are zero, take no part.
+    """
     v = vectors.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
-    unit = v.withColumn("n", F.sqrt(squared_norm(F.col("v")))).filter("n > 0")
-    q = unit.join(queries.select(F.col(id_col).alias("id")), "id", "left_semi").select(F.col("id").alias("query"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-    met = unit.join(maybe_broadcast(q, 10_000), F.col("id") != F.col("query"))
-    scored = met.select("query", F.col("id").alias("other"), F.round(dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("n")), digits).alias("score"))
-    return topk(scored, ["query"], [F.desc("score"), F.col("other")], k)
+    unit = v.withColumn("n", F.sqrt(squared_norm(F.col("v")))).filter("id IS NOT NULL AND n > 0 AND n < double('infinity')")
+    unit = unit.select("id", F.transform("v", lambda x: x / F.col("n")).alias("factor"), F.lit(0.0).alias("bias"))
+    q = unit.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    if not small_enough(q, sent_queries):
+        seen = q.select(F.col("id").alias("user"), F.col("id").alias("item"))
+        own = q.select(*[F.col(c).alias(c) for c in q.columns])  # columns of their own, as queries are rows too
+        return recommend_topk(own, unit, seen, k, digits, 0).withColumnsRenamed({"user": "query", "item": "other"})
+    sent = vectors.sparkSession.sparkContext.broadcast(q.withColumn("seen", F.array("id")).toPandas())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b) and len(sent.value):
+                b = b.sort_values("id")
+                best = best_of_block(sent.value, b["id"].to_numpy(), np.stack(b["factor"].to_list()), np.zeros(len(b)), k, digits)
+                yield pd.DataFrame(best, columns=["query", "other", "score"])
+
+    found = unit.select("id", "factor").mapInPandas(run, "query long, other long, score double")
+    return topk(found, ["query"], [F.desc("score"), F.col("other")], k)
 
 
 def ml_tfidf(docs: DataFrame, text_col: str = "text", max_features: int = FEATURES) -> DataFrame:

@@ -9,8 +9,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 from pyspark.sql.window import Window as W
 
+#: Bytes up to which a side is broadcast, beside the rows that an operator allows.
+SENT_BYTES = 64 << 20
+
 
 def stable(df: DataFrame) -> DataFrame:
     """df computed once: in the cluster's checkpoint folder, or persisted where none is set."""
@@ -72,15 +76,26 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFr
     return ranked.join(F.broadcast(offsets), part).withColumn(name, F.col(place) + F.col("_before")).drop(part, place, "_before")
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most that many rows; counts no further."""
-    return df.limit(rows + 1).count() <= rows
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row's values take."""
+    size: Column = F.lit(0)
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size += F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, ArrayType):
+            text = isinstance(f.dataType.elementType, StringType)
+            size += F.when(c.isNull(), 0).otherwise(8 * F.size(c) + (F.octet_length(F.array_join(c, "")) if text else F.lit(0)))
+        size += F.lit(8)
+    return size
 
 
-def maybe_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows, else as it is, for a join by shuffle."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+def small_enough(df: DataFrame, rows: int, most_bytes: int = SENT_BYTES) -> bool:
+    """Whether df has at most that many rows and bytes; counts no further than that many rows."""
+    n, size = df.limit(rows + 1).select(_bytes(df).cast("long").alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
+    return n <= rows and (size or 0) <= most_bytes
 
 
-def grouped_min(df: DataFrame, keys: list[str], value: str, name: str = "least") -> DataFrame:
-    return df.groupBy(*keys).agg(F.min(value).alias(name))
+def maybe_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows, of at most SENT_BYTES, else as it is, for a join by shuffle."""
+    return F.broadcast(df) if small_enough(df, rows) else df

@@ -112,6 +112,13 @@ def test_ranks_follow_unrounded_scores(spark):
     assert [(r.other, r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(3, 1), (2, 2)]
 
 
+def test_broadcasts_are_bounded_by_bytes(spark):
+    df = spark.createDataFrame([(1, "é" * 50, ["ab"] * 10, None), (2, None, None, 1.0)], "a long, b string, `c.d` array<string>, e double")
+    assert stages.small_enough(df, 2) and not stages.small_enough(df, 1)
+    assert stages.small_enough(df, 2, 264) and not stages.small_enough(df, 2, 263)
+    assert stages.small_enough(df.filter("false"), 0, 0)
+
+
 def test_kept_folder_goes(spark):
     with stages.kept_folder(spark, "x") as path:
         spark.range(3).write.parquet(path)
@@ -120,6 +127,24 @@ def test_kept_folder_goes(spark):
         spark.read.parquet(path)
 
 
+def test_dense_cosine_blocks(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)]) for i in range(60)] + [(7, [1.0, 1.0, 1.0])]
+    bad = [(90, None), (91, [0.0, 0.0, 0.0]), (92, [None, 1.0, 1.0]), (93, [float("nan"), 1.0, 1.0]), (94, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
+    frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(3,), (11,), (90,), (999,), (3,)], "vec_id long")
+    unit = [(i, [x / math.sqrt(sum(y * y for y in v)) for x in v]) for i, v in rows]
+    want = []
+    for q in (3, 11):
+        qv = next(v for i, v in unit if i == q)
+        best = sorted((-round(sum(a * b for a, b in zip(qv, v)), 5), i) for i, v in unit if i != q)[:4]
+        want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(best)]
+    for sent in (10_000, 0):  # sent, then by blocks
+        got = text.dense_cosine_topk(frame, asked, 4, sent_queries=sent).collect()
+        assert sorted((r["query"], r.other, r.score, r["rank"]) for r in got) == sorted(want)
+    assert text.dense_cosine_topk(frame, asked.filter("false")).count() == 0
+
+
 def test_minhash_index(spark, tmp_path):
     pairs = spark.createDataFrame(PAIRS, "item long, user long")
     sigs = minhash.signatures(pairs)
