@@ -96,8 +96,8 @@ def dense_cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col
     """(query, other, score, rank) over dense vectors of one length; a stated query set against all rows. Ties go to the smaller id.
 
     Up to sent_queries queries go along with the tasks: each batch of rows
-    meets them in matrix products and gives its k best a query. More queries
-    and the rows are dealt in blocks that meet block by block. Null ids, and
+    meets them in matrix products and gives its k best a query. For more, the
+    rows go along in blocks (recommend_topk). Null ids, and
     vectors that are null, hold null, NaN or infinity or are zero, take no part.
     """
     v = vectors.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
@@ -107,7 +107,8 @@ def dense_cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col
     if not small_enough(q, sent_queries):
         seen = q.select(F.col("id").alias("user"), F.col("id").alias("item"))
         own = q.select(*[F.col(c).alias(c) for c in q.columns])  # columns of their own, as queries are rows too
-        return recommend_topk(own, unit, seen, k, digits, 0).withColumnsRenamed({"user": "query", "item": "other"})
+        found = recommend_topk(own, unit, seen, k, digits).select(F.col("user").alias("query"), F.col("item").alias("other"), "score")
+        return topk(found, ["query"], [F.desc("score"), F.col("other")], k)  # ids may repeat here
     sent = vectors.sparkSession.sparkContext.broadcast(q.withColumn("seen", F.array("id")).toPandas())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

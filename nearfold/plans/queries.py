@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import PRIME, hash_seeds, text_element
 from ..operators import bpr, interactions, jaccard, kmeans, metrics, minhash, recommend, reports, text
 from ..sources import files as sources
-from .stages import computed, dense_index, kept_folder, stable
+from .stages import computed, dense_index, kept_folder, settled, stable
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 WIDTH = 8  # of the factors that hashes stand in for
@@ -512,8 +512,8 @@ def bpr_triples(spark, d):
 
 def _model(spark, d):
     rows = _rows(spark, d)
-    users = stable(_factors(rows.select(F.col("user").alias("id")), 1))
-    items = stable(_factors(rows.select(F.col("item").alias("id")), 2))
+    users = settled(_factors(rows.select(F.col("user").alias("id")), 1))
+    items = settled(_factors(rows.select(F.col("item").alias("id")), 2))
     return users, items
 
 

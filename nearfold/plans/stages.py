@@ -24,6 +24,20 @@ def stable(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """stable(), after which the shuffle files that df was made of are deleted. df itself is not used again.
+
+    Without it they stay until the driver's garbage is collected, so that steps
+    which need little disk each add up.
+    """
+    sc = df.sparkSession.sparkContext
+    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        return df.persist()
+    out = df.checkpoint()
+    df._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)
+    return out
+
+
 @contextmanager
 def kept_folder(spark: SparkSession, name: str) -> Iterator[str]:
     """A new folder that driver and executors share, under spark.checkpoint.dir; it is deleted at the end.

@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +238,34 @@ def test_recommend(spark, sent):
     assert {r.user for r in recommend.recommend_topk(users, items, everything, 9, sent_bytes=sent).collect()} == {2}
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 2000])
+def test_recommend_copies_no_rows(spark, sent):
+    """Beyond what is sent at once no row is shuffled once a block of the other side; results are those of brute force."""
+    rng = np.random.default_rng(4)
+    pool, bias = rng.integers(-3, 4, (9, 2)) / 4, rng.integers(0, 2, 300) / 8
+    items = [(int(i), pool[j].tolist(), float(b)) for i, j, b in zip(rng.permutation(900)[:300], rng.integers(0, 9, 300), bias)]  # many are equal
+    users = [(u, (rng.integers(-3, 4, 2) / 4).tolist(), u / 16) for u in range(40)]
+    seen = [(u, int(i)) for u in range(40) for i in rng.choice(900, u * 6, replace=False)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, factor array<double>, bias double")
+    got = recommend.recommend_topk(frame(users), frame(items), spark.createDataFrame(seen, "user long, item long"), 7, sent_bytes=sent)
+    plan = got._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "Generate" not in plan
+    want = []
+    for u, f, b in users:
+        left = sorted((-round(float(np.dot(f, g)) + b + c, 6), i) for i, g, c in items if (u, i) not in set(seen))[:7]
+        want += [(u, i, -s, k + 1) for k, (s, i) in enumerate(left)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_settled_drops_shuffle_files(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    df = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = shuffles.size()
+    out = stages.settled(df)
+    assert shuffles.size() <= before and out.count() == 7
+
+
 def test_last_purchases_and_report(spark):
     df = spark.createDataFrame([(1, 7, 10), (1, 8, 10), (1, 9, 5), (2, 7, 1)], "user long, item long, timestamp long")
     last = recommend.last_n(df, 2, "user", "item", "timestamp")
