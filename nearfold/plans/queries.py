@@ -538,8 +538,9 @@ a AS (SELECT "user", item FROM s WHERE split = 'valid'), h AS (SELECT a."user",
 SELECT round(coalesce(avg(r), 0), 6) AS recall FROM h""")
 def recall_at_k(spark, d):
     s = _split(spark, d)
+    valid = settled(_part(s, "valid").select("user", "item"))
     recs = recommend.recommend_topk(*_model(spark, d), _part(s, "train"), 50)
-    return metrics.user_recall_at_k(recs, _part(s, "valid")).select(F.round("recall", 6).alias("recall"))
+    return metrics.user_recall_at_k(recs, valid).select(F.round("recall", 6).alias("recall"))
 
 
 _LAST = """SELECT "user", CAST(row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, item, rn) AS INTEGER) AS rank, item, ts AS timestamp FROM s WHERE split = 'train' QUALIFY rank <= 5"""
