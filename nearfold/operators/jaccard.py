@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stages import maybe_broadcast, stable, topk
+from ..plans.stages import maybe_broadcast, settled, topk
+
+#: Meetings of two items of a user that are shuffled at a time.
+MEETINGS = 30_000_000
 
 
 def item_user_pairs(df: DataFrame, item: str = "product_idx", user: str = "user_idx") -> DataFrame:
@@ -29,6 +34,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def _sized(pairs: DataFrame) -> DataFrame:
+    """pairs with n, how many users the item has."""
+    return settled(pairs.join(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item"))
+
+
+def _meet(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
+    """(item, other, score) of the items of both sides that have a user in common."""
+    a, b = left.withColumnRenamed("n", "na").alias("a"), right.select(F.col("item").alias("other"), "user", F.col("n").alias("nb")).alias("b")
+    met = a.join(b, (F.col("a.user") == F.col("b.user")) & apart)
+    common = met.groupBy("item", "other").agg(F.count(F.lit(1)).alias("k"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+    return common.select("item", "other", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("score"))
+
+
 def similar_pairs(pairs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """(item, other, score) of all pairs with a common user; queries: column item.
 
@@ -37,21 +55,32 @@ def similar_pairs(pairs: DataFrame, queries: DataFrame | None = None) -> DataFra
     along with the pairs, so nothing is joined to what the meeting makes.
     Without queries each pair is counted once and then mirrored.
     """
-    sizes = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    sized = stable(pairs.join(sizes, "item"))
+    sized = _sized(pairs)
     left = sized if queries is None else sized.join(maybe_broadcast(queries.select("item").distinct()), "item", "left_semi")
-    a, b = left.withColumnRenamed("n", "na").alias("a"), sized.select(F.col("item").alias("other"), "user", F.col("n").alias("nb")).alias("b")
-    apart = F.col("a.item") < F.col("b.other") if queries is None else F.col("a.item") != F.col("b.other")
-    met = a.join(b, (F.col("a.user") == F.col("b.user")) & apart)
-    common = met.groupBy("item", "other").agg(F.count(F.lit(1)).alias("k"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-    out = common.select("item", "other", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("score"))
+    out = _meet(left, sized, F.col("a.item") < F.col("b.other") if queries is None else F.col("a.item") != F.col("b.other"))
     if queries is None:
         both = F.explode(F.array(F.struct("item", "other"), F.struct(F.col("other").alias("item"), F.col("item").alias("other"))))
         out = out.select(both.alias("p"), "score").select("p.item", "p.other", "score")
     return out
 
 
-def exact_jaccard_topk(pairs: DataFrame, k: int = 5, queries: DataFrame | None = None, digits: int = 6) -> DataFrame:
-    """(item, other, score, rank); ties go to the smaller id. Ranks follow the unrounded scores."""
-    ranked = topk(similar_pairs(pairs, queries), ["item"], [F.desc("score"), F.col("other")], k)
+def exact_jaccard_topk(pairs: DataFrame, k: int = 5, queries: DataFrame | None = None, digits: int = 6, meetings: int = MEETINGS) -> DataFrame:
+    """(item, other, score, rank); ties go to the smaller id. Ranks follow the unrounded scores.
+
+    Where a user's items meet each other more than `meetings` times in all, a
+    part of the items is ranked at a time, so disk holds about so many pairs.
+    """
+    parts = 1
+    if queries is None:
+        pairs = settled(pairs)
+        met = pairs.groupBy("user").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0]
+        parts = max(1, -int(-(met or 0) // max(1, meetings)))
+    if parts == 1:
+        ranked = topk(similar_pairs(pairs, queries), ["item"], [F.desc("score"), F.col("other")], k)
+    else:
+        sized, out = _sized(pairs), []
+        for n in range(parts):
+            some = _meet(sized.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == n), sized, F.col("a.item") != F.col("b.other"))
+            out.append(settled(topk(some, ["item"], [F.desc("score"), F.col("other")], k)))
+        ranked = reduce(DataFrame.unionAll, out)
     return ranked.withColumn("score", F.round("score", digits))

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.hashing import PRIME, hash_seeds
-from ..plans.stages import stable, topk
+from ..plans.stages import settled, topk
 
 HASHES, BANDS = 128, 64
+#: Rows of bands that are shuffled at a time, and bytes of signatures that go along with pairs at a time.
+BAND_ROWS, PAIR_BYTES = 20_000_000, 512 << 20
 
 
 def signatures(pairs: DataFrame, num_hashes: int = HASHES, seed: int = 42, element: str = "user") -> DataFrame:
     """(item, sig): least hash of the item's elements for each of the hash functions.
 
-    One aggregate with a minimum for each function: partial minima are made
-    before the shuffle, so an item of any size sends one row a partition, and
-    no set is ever held. Items without an element don't appear.
+    Pairs are shuffled by item, a few bytes each, and one aggregate has a
+    minimum for each function; minima made before the shuffle would be a whole
+    signature for nearly every pair. No set is ever held. Items without an
+    element don't appear.
     """
     x = F.col(element).cast("long") % PRIME
     mins = [F.min((F.lit(a) * x + F.lit(b)) % F.lit(PRIME)).alias(f"m{k}") for k, (a, b) in enumerate(hash_seeds(num_hashes, seed))]
-    least = pairs.dropna(subset=["item", element]).groupBy("item").agg(*mins)
+    least = pairs.dropna(subset=["item", element]).repartition("item").groupBy("item").agg(*mins)
     return least.select("item", F.array(*[F.col(f"m{k}") for k in range(num_hashes)]).alias("sig"))
 
 
@@ -63,20 +69,66 @@ def lsh_topk(index: DataFrame, sigs: DataFrame, k: int = 5, queries: DataFrame |
     return topk(c.select("item", "other", estimate(F.col("sa"), F.col("sb")).alias("score")), ["item"], [F.desc("score"), F.col("other")], k)
 
 
-def similar_topk(sigs: DataFrame, k: int = 5, num_bands: int = BANDS, rows: int | None = None) -> DataFrame:
+def _shared(sigs: DataFrame, num_bands: int, rows: int, band_rows: int) -> list[DataFrame]:
+    """Tables (band, key, item) of the buckets with more than one item, made for a few bands at a time.
+
+    Up to two rows a band the key is the rows as they are, beyond a hash of them.
+    """
+    def key(b: int) -> Column:
+        part = [F.col("sig")[b * rows + k].cast("long") for k in range(rows)]
+        return part[0] if rows == 1 else part[0] * (1 << 31) + part[1] if rows == 2 else F.xxhash64(*part)
+
+    at_once, out = max(1, band_rows // max(1, sigs.count())), []
+    for at in range(0, num_bands, at_once):
+        keys = F.array(*[F.struct(F.lit(b).alias("band"), key(b).alias("key")) for b in range(at, min(at + at_once, num_bands))])
+        some = sigs.select("item", F.explode(keys).alias("_x")).select("_x.band", "_x.key", "item")
+        some = some.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("band", "key")))
+        out.append(settled(some.filter("_n > 1").drop("_n")))
+    return out
+
+
+def scored_pairs(sigs: DataFrame, num_bands: int = BANDS, rows: int | None = None, band_rows: int = BAND_ROWS, pair_bytes: int = PAIR_BYTES) -> DataFrame:
+    """(a, b, score), a < b: each pair that shares a bucket once, with its estimate. sigs: written.
+
+    Only items that share a bucket are joined, as numbers; signatures then go
+    along with a part of the pairs at a time, so disk holds pair_bytes of them.
+    """
+    size = (sigs.select(F.size("sig")).first() or [num_bands])[0]
+    rows = rows or size // num_bands
+    met = reduce(DataFrame.unionAll, _shared(sigs, num_bands, rows, band_rows))
+    one, other = met.withColumnRenamed("item", "a"), met.withColumnRenamed("item", "b")
+    pairs = settled(one.join(other, ["band", "key"]).filter("a < b").select("a", "b").distinct())
+    parts, out = max(1, -(-pairs.count() * size * 4 // max(1, pair_bytes))), []
+    same = lambda i: F.slice("sa", i * rows + 1, rows) == F.slice("sb", i * rows + 1, rows)
+    for n in range(parts):
+        some = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(parts)) == n) if parts > 1 else pairs
+        some = some.join(sigs.select(F.col("item").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("item").alias("b"), F.col("sig").alias("sb")), "b")
+        if rows > 2:  # two keys may be equal by chance
+            some = some.filter(F.exists(F.sequence(F.lit(0), F.lit(num_bands - 1)), same))
+        out.append(settled(some.select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("score"))))
+    return reduce(DataFrame.unionAll, out)
+
+
+def similar_topk(sigs: DataFrame, k: int = 5, num_bands: int = BANDS, rows: int | None = None, band_rows: int = BAND_ROWS, pair_bytes: int = PAIR_BYTES) -> DataFrame:
     """lsh_topk() of all items, from their signatures, with equal signatures folded.
 
     Items with one signature are one group, named by its smallest id: only
     groups are banded, meet and are compared, so ten thousand items of one and
-    the same user cost what one of them does. A group needs its k best groups,
-    by score and smallest id, and of each the k smallest ids: a place in an
-    item's first k is never given to another group or member. Its own members
-    score 1, k + 1 of them leave k beside the item itself.
+    the same user cost what one of them does. Signatures count as equal if two
+    64-bit hashes of them are. A group needs its k best groups, by score and
+    smallest id, and of each the k smallest ids: a place in an item's first k
+    is never given to another group or member. Its own members score 1, k + 1
+    of them leave k beside the item itself.
     """
-    groups = stable(sigs.groupBy("sig").agg(F.min("item").alias("item")))  # partial minima: a crowded signature sends a row a partition
-    alike = stable(sigs.join(groups.withColumnRenamed("item", "_first"), "sig").select("item", "_first"))
-    first = stable(topk(alike, ["_first"], [F.col("item")], k + 1, "_place"))
-    best = lsh_topk(bands(groups, num_bands, rows), groups, k).select(F.col("item").alias("_first"), F.col("other").alias("_group"), "score")
+    sigs = settled(sigs.select("item", F.col("sig").cast("array<int>").alias("sig")))
+    hashed = sigs.select("item", F.xxhash64("sig").alias("_h"), F.xxhash64(F.lit(1), "sig").alias("_i"))
+    alike = settled(hashed.join(hashed.groupBy("_h", "_i").agg(F.min("item").alias("_first")), ["_h", "_i"]).select("item", "_first"))
+    first = settled(topk(alike, ["_first"], [F.col("item")], k + 1, "_place"))
+    copies = alike.filter("item <> _first")
+    groups = sigs if copies.isEmpty() else settled(sigs.join(copies, "item", "left_anti"))
+    pairs = scored_pairs(groups, num_bands, rows, band_rows, pair_bytes)
+    best = pairs.select(F.col("a").alias("_first"), F.col("b").alias("_group"), "score").unionAll(pairs.select("b", "a", "score"))
+    best = topk(best, ["_first"], [F.desc("score"), F.col("_group")], k).drop("rank")
     near = best.join(first.filter(F.col("_place") <= k).select(F.col("_first").alias("_group"), F.col("item").alias("other")), "_group")
     near = topk(near.select("_first", "other", "score"), ["_first"], [F.desc("score"), F.col("other")], k, "_place").drop("_place")
     near = near.unionByName(first.select("_first", F.col("item").alias("other"), F.lit(1.0).alias("score")))

@@ -284,7 +284,7 @@ def _index(spark, d, bands=64, rows=2):
 
 @_query(f"WITH {_MINHASH}, {_lsh(64, 2)} SELECT item, other, score, rank FROM top")
 def lsh_topk(spark, d):
-    return _int_rank(minhash.similar_topk(stable(minhash.signatures(_pairs(spark, d)))))
+    return _int_rank(minhash.similar_topk(minhash.signatures(_pairs(spark, d))))
 
 
 @_query(f"""WITH {_MINHASH}, {_lsh(64, 2)}, one AS (SELECT coalesce(max(CASE WHEN item = 250 THEN item END), min(item)) AS item FROM sig)
@@ -308,14 +308,15 @@ _RECALL = "(SELECT coalesce(avg(r), 0) FROM (SELECT count(x.other) / count(*) AS
 
 @_query(f"WITH {_JACCARD}, {_E}, {_sigs('e')}, {_lsh(64, 2)} SELECT round({_RECALL.format('top')}, 6) AS recall")
 def lsh_recall_at_5(spark, d):
-    found = minhash.similar_topk(stable(minhash.signatures(_pairs(spark, d))))
-    return metrics.recall_at_k(found, jaccard.exact_jaccard_topk(_pairs(spark, d))).select(F.round("recall", 6).alias("recall"))
+    pairs = settled(_pairs(spark, d))
+    found = settled(minhash.similar_topk(minhash.signatures(pairs)))
+    return metrics.recall_at_k(found, jaccard.exact_jaccard_topk(pairs)).select(F.round("recall", 6).alias("recall"))
 
 
 @_query(f"WITH {_MINHASH}, {_lsh(25, 5)} SELECT item, other, score, rank FROM top")
 def lsh_comparator(spark, d):
     """The banding that a threshold of 0.5 asks for."""
-    return _int_rank(minhash.similar_topk(stable(minhash.signatures(_pairs(spark, d))), 5, 25, 5))
+    return _int_rank(minhash.similar_topk(minhash.signatures(_pairs(spark, d)), 5, 25, 5))
 
 
 @_query(f"WITH {_MINHASH}, {_lsh(64, 2)} SELECT size, count(*) AS buckets FROM (SELECT count(*) AS size FROM b GROUP BY band, key) GROUP BY size")
@@ -326,8 +327,9 @@ def lsh_bucket_sizes(spark, d):
 @_query(f"""WITH {_JACCARD}, {_E}, {_sigs('e')}, {_lsh(64, 2)}, {_lsh(25, 5, '5')}, r AS (SELECT round({_RECALL.format('top')}, 6) AS ours, round({_RECALL.format('top5')}, 6) AS other)
 SELECT 'recall_at_5' AS metric, ours, other, CASE WHEN ours = other THEN 'tie' WHEN ours > other THEN 'ours' ELSE 'other' END AS winner FROM r""")
 def benchmark_summary(spark, d):
-    sigs = stable(minhash.signatures(_pairs(spark, d)))
-    truth = stable(jaccard.exact_jaccard_topk(_pairs(spark, d)))
+    pairs = settled(_pairs(spark, d))
+    sigs = settled(minhash.signatures(pairs).withColumn("sig", F.col("sig").cast("array<int>")))
+    truth = settled(jaccard.exact_jaccard_topk(pairs))
     value = lambda b, r: round(metrics.recall_at_k(minhash.similar_topk(sigs, 5, b, r), truth).first()[0], 6)
     return metrics.comparison({"recall_at_5": value(64, 2)}, {"recall_at_5": value(25, 5)}, spark, set())
 

@@ -97,6 +97,26 @@ def test_equal_signatures_are_folded(spark):
     assert minhash.similar_topk(sigs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [2, 4])
+def test_pairs_are_scored_in_parts(spark, rows):
+    """A few bands and a part of the pairs at a time give what all at once give; signatures aren't made before the shuffle."""
+    rng = random.Random(8)
+    pairs = spark.createDataFrame([(i, u) for i in range(90) for u in {rng.randrange(12) for _ in range(rng.choice([1, 3, 6]))}], "item long, user long")
+    sigs = minhash.signatures(pairs)
+    plan = sigs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("partial_min")  # printed from the top
+    sigs = sigs.cache()
+    want = minhash.lsh_topk(minhash.bands(sigs, 64 // rows, rows), sigs, 4).select("item", "other", "score", "rank").collect()
+    assert sorted(minhash.similar_topk(sigs, 4, 64 // rows, rows, band_rows=700, pair_bytes=20_000).collect()) == sorted(want)
+
+
+def test_exact_jaccard_in_parts(spark):
+    rng = random.Random(6)
+    pairs = spark.createDataFrame([(i, u) for i in range(60) for u in rng.sample(range(25), rng.choice([1, 2, 5]))], "item long, user long")
+    want = sorted(jaccard.exact_jaccard_topk(pairs, 4).collect())
+    assert sorted(jaccard.exact_jaccard_topk(pairs, 4, meetings=150).collect()) == want and len(want) > 100
+
+
 def test_saved_index_answers_like_the_index(spark, tmp_path):
     pairs = spark.createDataFrame([(i, u) for i in range(1, 30) for u in range(i % 5, i % 5 + 4)], "item long, user long")
     sigs = minhash.signatures(pairs)
