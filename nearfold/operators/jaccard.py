@@ -35,8 +35,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
-    """pairs with n, how many users the item has."""
-    return settled(pairs.join(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item"))
+    """pairs with n, how many users the item has; dealt and sorted by user, which the checkpoint keeps, so that meetings shuffle nothing."""
+    sized = pairs.join(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settled(sized.repartition(parts, "user").sortWithinPartitions("user"))
 
 
 def _meet(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
