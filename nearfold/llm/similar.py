@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import arrow_lists, cut, map_batches, numbered, sent, without, written
-from .simhash import _LOWER, components
+from .simhash import _LOWER, components, fingerprints, links
 
 SIZE = 5
 SEGMENTS, WIDTH = 8, 5
-SMALL, PIVOTS = 12, 3
+SMALL, PIVOTS, NEAREST = 12, 3, 2
 #: Six bits of each symbol are compared first; more than so many differing bits of all are 4.8 standard deviations from 0.8.
 SYMBOL_BITS, FAR = 6, 64
 
@@ -116,52 +116,95 @@ def _able(m: str, n: str) -> Column:
     return 9 * F.least(m, n) >= 4 * (F.col(m) + F.col(n))
 
 
+def _near(x: str, y: str) -> Column:
+    """Whether two sketches differ in at most FAR bits."""
+    differ = [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(4)]
+    return differ[0] + differ[1] + differ[2] + differ[3] <= FAR
+
+
 def _linked(met: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     """(u, v), u < v: of the met pairs (a, b) those with a Jaccard similarity of 0.8 or more."""
     pairs = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     for side in "uv":
         pairs = pairs.join(sigs.select(F.col("node").alias(side), F.col("sketch").alias("of_" + side)), side)
-    far = sum((F.bit_count(F.col("of_u")[k].bitwiseXOR(F.col("of_v")[k])) for k in range(1, 4)), F.bit_count(F.col("of_u")[0].bitwiseXOR(F.col("of_v")[0])))
-    pairs = cut(pairs.filter(far <= FAR).select("u", "v"))  # written, so that the joins can split a pivot of many pairs
+    pairs = cut(pairs.filter(_near("of_u", "of_v")).select("u", "v"))  # written, so that the joins can split a pivot of many pairs
     sets = _sets(rows, text_col, pairs.select(F.explode(F.array("u", "v")).alias("node")))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("found").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("found").alias("y")), "v")
     return cut(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v"))
 
 
-def _rare(apart: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
-    """(a, b): pairs of nodes (node, root, n) of different roots that share one of their rarest shingles."""
+def _rare(apart: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """(a, b): pairs of nodes (node, root, n) of different roots that share one of their rarest shingles and whose sketches are near."""
+    apart = apart.join(sigs.select("node", "sketch"), "node")
     own = _sets(rows, text_col, apart).select("node", F.explode("found").alias("h"))
     common = own.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     first = F.row_number().over(W.partitionBy("node").orderBy("df", "h"))
     key = own.join(common, "h").withColumn("first", first).join(apart, "node")
-    key = cut(key.filter((F.col("df") > 1) & (5 * (F.col("first") - 1) <= F.col("n"))).select("h", "node", "root", "n"))
-    other = key.select("h", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"))
-    return key.join(other, "h").filter((F.col("root") < F.col("other")) & _able("n", "m")).select(F.col("node").alias("a"), "b")
+    key = cut(key.filter((F.col("df") > 1) & (5 * (F.col("first") - 1) <= F.col("n"))).select("h", "node", "root", "n", "sketch"))
+    other = key.select("h", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("its"))
+    return key.join(other, "h").filter((F.col("root") < F.col("other")) & _able("n", "m") & _near("sketch", "its")).select(F.col("node").alias("a"), "b")
+
+
+def _by_simhash(rows: DataFrame, text_col: str) -> DataFrame:
+    """(a, b): texts with one fingerprint, held against the first of them, and the first ones of fingerprints that simhash links."""
+    fps = cut(fingerprints(rows, "node", text_col, SIZE))
+    first = cut(fps.groupBy("fp").agg(F.min("id").alias("b")))
+    pairs = cut(links(first.select("fp")))
+    for side, end in ("ua", "vb"):
+        pairs = pairs.join(first.select(F.col("fp").alias(side), F.col("b").alias(end + "_")), side)
+    same = fps.join(first, "fp").filter("id <> b").select(F.col("id").alias("a"), "b")
+    return same.unionAll(pairs.select(F.col("a_").alias("a"), F.col("b_").alias("b")))
+
+
+def _merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, root) by the edges (u, v) and the roots so far. Edges are read from a table again: a checkpoint keeps
+    what the optimizer inferred, and over several rounds of components that outgrows it."""
+    if roots is not None:
+        edges = edges.unionAll(roots.filter("root < node").select(F.col("root").alias("u"), F.col("node").alias("v")))
+    return written(components(written(edges)))
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members with the root of each node, of the keys whose nodes have several."""
+    named = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    several = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    return cut(named.join(several, "key"))
 
 
 def similar_roots(rows: DataFrame, text_col: str, small: int = SMALL) -> DataFrame:
-    """(node, root) for the nodes of components of two or more, of rows with a number `node` and a text."""
+    """(node, root) for the nodes of components of two or more, of rows with a number `node` and a text.
+
+    First each text is held against what simhash links it to and the NEAREST
+    pivots that it shares most variants with, so a group of any size makes a
+    few pairs a text. What comes after looks only at variants whose texts are
+    not in one component yet.
+    """
     sigs = written(_signatures(rows, text_col))
     keys = sigs.select(F.explode("keys").alias("key"), "node", "n")
-    shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    members = cut(keys.join(shared, "key"))
-    few, many = members.filter(F.col("c") <= small), members.filter(F.col("c") > small)
-    one, other = few.select("key", F.col("node").alias("a"), "n"), few.select("key", F.col("node").alias("b"), F.col("n").alias("m"))
-    met = one.join(other, "key").filter((F.col("a") < F.col("b")) & _able("n", "m")).select("a", "b")
-    pivot = [F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("b"), F.col("n").alias("m"))).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = cut(many.groupBy("key").agg(*pivot).select("key", F.explode(F.array_distinct(F.array(*(F.struct(f"p{k}.b", f"p{k}.m") for k in range(PIVOTS))))).alias("p")).select("key", "p.b", "p.m"))
-    held = many.join(pivots, "key").filter((F.col("node") != F.col("b")) & _able("n", "m")).select(F.col("node").alias("a"), "b")
-    edges = _linked(met.unionAll(held), sigs, rows, text_col)
-    roots = cut(components(edges))
-    named = many.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_keys = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    apart = cut(named.join(open_keys, "key").select("node", "root", "n").distinct())
+    shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("p")).filter("c > 1"))
+    members = cut(keys.join(shared.select("key", "c"), "key"))
+    held = members.join(shared.select("key", F.col("p.node").alias("b"), F.col("p.n").alias("m")), "key").filter((F.col("node") != F.col("b")) & _able("n", "m"))
+    held = held.groupBy("node", "b").agg(F.count(F.lit(1)).alias("votes"))
+    nearest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("votes"), "b"))
+    held = held.withColumn("nth", nearest).filter(F.col("nth") <= NEAREST).select(F.col("node").alias("a"), "b")
+    roots = _merged(None, _linked(held.unionAll(_by_simhash(rows, text_col)), sigs, rows, text_col))
+
+    left = _open(members, roots)
+    few, many = left.filter(F.col("c") <= small), left.filter(F.col("c") > small)
+    one = few.select("key", F.col("node").alias("a"), "n", "root")
+    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    met = one.join(other, "key").filter((F.col("root") < F.col("other")) & _able("n", "m")).select("a", "b")
+    pivot = [F.min(F.struct(F.xxhash64("root", F.lit(k)), F.xxhash64("node"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))).alias(f"p{k}") for k in range(PIVOTS)]
+    each = F.array_distinct(F.array(*(F.struct(f"p{k}.b", f"p{k}.m", f"p{k}.other") for k in range(PIVOTS))))
+    pivots = cut(many.groupBy("key").agg(*pivot).select("key", F.explode(each).alias("p")).select("key", "p.b", "p.m", "p.other"))
+    held = many.join(pivots, "key").filter((F.col("root") != F.col("other")) & _able("n", "m")).select(F.col("node").alias("a"), "b")
+    roots = _merged(roots, _linked(met.unionAll(held), sigs, rows, text_col))
+
+    apart = cut(_open(many.drop("root"), roots).select("node", "root", "n").distinct())
     if apart.isEmpty():
         return roots
-    more = _linked(_rare(apart, rows, text_col), sigs, rows, text_col)
-    if more.isEmpty():
-        return roots
-    return cut(components(more.unionAll(roots.filter("root < node").select(F.col("root").alias("u"), F.col("node").alias("v")))))
+    more = _linked(_rare(apart, sigs, rows, text_col), sigs, rows, text_col)
+    return roots if more.isEmpty() else _merged(roots, more)
 
 
 def _members(rows: DataFrame, id_col: str, text_col: str, small: int) -> DataFrame:

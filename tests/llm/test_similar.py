@@ -106,3 +106,15 @@ def test_signatures_meet_at_the_threshold():
         b = similar.variants(similar.symbols(np.array(both + [rng.getrandbits(63) for _ in range(20)], np.uint64))[None])[0]
         met += bool(set(a.tolist()) & set(b.tolist()))
     assert met >= 299
+
+
+def test_a_large_group_makes_few_pairs(spark, monkeypatch):
+    """Near copies are held against a few texts each, not against all that share a variant; SimHash's links are among the pairs."""
+    rng = random.Random(2)
+    base = [f"n{rng.randrange(10**6)}" for _ in range(200)]
+    rows = spark.createDataFrame([(i, " ".join(edited(rng, base, rng.randrange(3)))) for i in range(150)], "node long, text string")
+    counts, linked = [], similar._linked
+    monkeypatch.setattr(similar, "_linked", lambda met, *rest: (counts.append(met.count()), linked(met, *rest))[1])
+    roots = similar.similar_roots(rows, "text")
+    assert roots.count() == 150 and roots.select("root").distinct().count() == 1
+    assert sum(counts) <= 6 * 150 and similar._by_simhash(rows, "text").count() > 0
