@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,7 +53,15 @@ def fold(id_col: str | Column, modulus: int) -> Column:
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that was freed goes back to the system: idle workers count beside the JVM they belong to."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
 
 
 _held: dict[str, Callable[[], None]] = {}
@@ -68,6 +77,7 @@ def drop_held(but: str | None) -> None:
     for name, drop in _held.items():
         if name != but:
             drop()
+    give_back()
 
 
 def map_batches(df: DataFrame, fn: Callable[[list[list]], list], schema: str, held: str | None = None) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import numpy as np
 
 
-class _Numbers(dict):
+class Numbers(dict):
+    """Numbers for new keys in the order they are asked for."""
+
     def __missing__(self, word):
         self[word] = n = len(self)
         return n
@@ -22,12 +24,12 @@ class WordTable:
     """Numbers words and keeps a row of features for each; emptied when it holds `most` words."""
 
     def __init__(self, features: Callable[[list], np.ndarray], most: int = 150_000, split: Callable[[str | None], list] = spaced):
-        self.features, self.most, self.split, self.number, self.rows = features, most, split, _Numbers(), None
+        self.features, self.most, self.split, self.number, self.rows = features, most, split, Numbers(), None
 
     def look_up(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(row of `rows` for each word of all texts in turn, words in each text)."""
         if len(self.number) > self.most:
-            self.number, self.rows = _Numbers(), None
+            self.number, self.rows = Numbers(), None
         known = len(self.number)
         words = list(map(self.split, texts))
         counts = np.fromiter(map(len, words), np.int64, len(words))

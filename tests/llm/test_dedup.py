@@ -132,6 +132,50 @@ def test_word_ids_are_the_tokenizers():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, x
 
 
+def test_many_words_are_merged_as_the_tokenizer_does():
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from nearfold.llm.packing import Merges
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aaeinorstßéü") for _ in range(rng.randint(1, 40))) for _ in range(3000)] + ["a", "aaaa", "the", "ÿ"]
+    ids, sizes = Merges(path, t.get_vocab())([w.encode() for w in words])
+    ends = np.cumsum(sizes)
+    assert [ids[b - n : b].tolist() for b, n in zip(ends, sizes)] == [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def test_a_full_dictionary_keeps_the_words_seen_again():
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, coder, rng = Tokenizer.from_file(path), WordIds(path, 100), random.Random(6)
+    for _ in range(30):
+        text = " ".join(rng.choice(["The", "house.", "é,", "3.5", "...", "it's", "a.b@c"]) + " " + "".join(rng.choice("abcÉ!") for _ in range(9)) for _ in range(60))
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert b"the" in coder.number and len(coder.number) <= 100 + 300
+    assert len(coder.ids) < 20 * 400
+
+
+def test_freed_memory_goes_back_to_the_system():
+    import numpy as np
+
+    from nearfold.llm import common
+
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    blocks = [np.ones(8000) for _ in range(3000)]
+    pin = np.ones(8000)  # above them, so that the heap can't shrink from its end
+    before = resident()
+    del blocks
+    common.drop_held(None)
+    assert resident() < before - 100_000_000 and pin.all()
+
+
 @pytest.mark.parametrize("options", [{}, {"most_docs": 3}, {"most_attention": 5000.0, "rule": "dot"}])
 def test_packing_holds_every_constraint(spark, options):
     import numpy as np
