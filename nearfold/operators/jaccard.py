@@ -66,6 +66,27 @@ def similar_pairs(pairs: DataFrame, queries: DataFrame | None = None) -> DataFra
     return out
 
 
+def _lists(pairs: DataFrame) -> DataFrame:
+    """(items, sizes): a row for each user, with how many users each of the items has."""
+    sized = pairs.join(pairs.groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("n")), "item")
+    both = sized.groupBy("user").agg(F.collect_list(F.struct("item", "n")).alias("own"))  # one list, so that the two agree
+    return settled(both.select(F.col("own.item").alias("items"), F.col("own.n").alias("sizes")))
+
+
+def _meet_lists(lists: DataFrame, parts: int, n: int) -> DataFrame:
+    """(item, other, score) of the items of part n of so many and those they have a user in common with.
+
+    A user's list goes to each of its items, some 12 bytes a meeting; items
+    meet and are counted where they are sent, behind that one shuffle.
+    """
+    own = lists.select("items", "sizes", F.posexplode("items").alias("at", "item")).filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == n)
+    own = own.select("item", F.col("sizes")[F.col("at")].alias("na"), "items", "sizes").repartition("item")
+    met = own.select("item", "na", "sizes", F.posexplode("items").alias("at", "other")).filter(F.col("item") != F.col("other"))
+    met = met.select("item", "other", "na", F.col("sizes")[F.col("at")].alias("nb"))
+    common = met.groupBy("item", "other").agg(F.count(F.lit(1)).alias("k"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+    return common.select("item", "other", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("score"))
+
+
 def exact_jaccard_topk(pairs: DataFrame, k: int = 5, queries: DataFrame | None = None, digits: int = 6, meetings: int = MEETINGS) -> DataFrame:
     """(item, other, score, rank); ties go to the smaller id. Ranks follow the unrounded scores.
 
@@ -80,9 +101,8 @@ def exact_jaccard_topk(pairs: DataFrame, k: int = 5, queries: DataFrame | None =
     if parts == 1:
         ranked = topk(similar_pairs(pairs, queries), ["item"], [F.desc("score"), F.col("other")], k)
     else:
-        sized, out = _sized(pairs), []
+        lists, out = _lists(pairs), []
         for n in range(parts):
-            some = _meet(sized.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == n), sized, F.col("a.item") != F.col("b.other"))
-            out.append(settled(topk(some, ["item"], [F.desc("score"), F.col("other")], k)))
+            out.append(settled(topk(_meet_lists(lists, parts, n), ["item"], [F.desc("score"), F.col("other")], k)))
         ranked = reduce(DataFrame.unionAll, out)
     return ranked.withColumn("score", F.round("score", digits))

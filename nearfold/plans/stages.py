@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,13 +28,44 @@ def settled(df: DataFrame) -> DataFrame:
     """stable(), after which the shuffle files that df was made of are deleted. df itself is not used again.
 
     Without it they stay until the driver's garbage is collected, so that steps
-    which need little disk each add up.
+    which need little disk each add up. A df that is a checkpoint stays as it is.
     """
+    if _checkpoint_path(df):
+        return df
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        return df.persist()
-    out = df.checkpoint()
-    df._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)
+        out = df.persist()
+    else:
+        out = df.checkpoint()
+        df._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)
+    if _made:
+        _made[-1].append(out)
+    return out
+
+
+def _checkpoint_path(df: DataFrame) -> str | None:
+    """Where the rows of a checkpointed df are."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return None
+    path = plan.rdd().getCheckpointFile()
+    return path.get() if path.isDefined() else None
+
+
+_made: list[list[DataFrame]] = []
+
+
+def settled_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """settled(make()), after which the tables that make() settled on its way are deleted. They are not used again."""
+    _made.append([])
+    try:
+        df = make()
+    finally:
+        made = _made.pop()
+    out, sc = settled(df), df.sparkSession.sparkContext
+    for path in {_checkpoint_path(t) for t in made} - {None, _checkpoint_path(out)}:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
     return out
 
 

@@ -117,6 +117,30 @@ def test_exact_jaccard_in_parts(spark):
     assert sorted(jaccard.exact_jaccard_topk(pairs, 4, meetings=150).collect()) == want and len(want) > 100
 
 
+def test_a_summary_deletes_the_tables_it_made_on_its_way(spark, tmp_path):
+    from nearfold.plans.queries import QUERIES
+
+    sc, old = spark.sparkContext, spark.sparkContext.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path))
+    try:
+        got = QUERIES["benchmark_summary"](spark, "/root/testdata/sf0.001").collect()
+        left = [f for f in tmp_path.glob("*/rdd-*") if any(f.glob("part-*"))]
+        pairs = stages.settled(spark.range(9))
+        assert stages.settled(pairs) is pairs and stages.settled_alone(lambda: stages.settled(spark.range(7))).count() == 7
+    finally:
+        if old:
+            sc._jsc.sc().setCheckpointDir(old)
+    assert len(got) == 1 and len(left) == 4  # pairs, the truth and what two bandings found
+
+
+def test_lists_meet_as_pairs_do(spark):
+    rows = [(i, u) for u in range(6) for i in range(0, 40, u + 1)] + [(77, 99), (78, 100), (79, 100)]
+    pairs = spark.createDataFrame(rows, "item long, user long")
+    lists = jaccard._lists(pairs)
+    got = [r for n in range(3) for r in jaccard._meet_lists(lists, 3, n).collect()]
+    assert sorted(got) == sorted(jaccard.similar_pairs(pairs).collect()) and len(got) > 100
+
+
 def test_saved_index_answers_like_the_index(spark, tmp_path):
     pairs = spark.createDataFrame([(i, u) for i in range(1, 30) for u in range(i % 5, i % 5 + 4)], "item long, user long")
     sigs = minhash.signatures(pairs)
