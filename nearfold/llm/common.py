@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,6 +23,8 @@ MOST_SENT = 1_000_000
 SLICE = 2000
 #: Bytes of an Arrow batch, on both sides, where the session has Spark's default of 64 MB.
 BATCH_BYTES, DEFAULT_BATCH = 8 << 20, "67108864b"
+#: A worker without a task for so many seconds drops what it holds.
+IDLE_S = 1.0
 
 
 def checkpoint_folder(sc: SparkContext) -> str:
@@ -73,13 +78,45 @@ def hold(name: str, drop: Callable[[], None]) -> None:
 
 
 def drop_held(but: str | None) -> None:
-    """Workers are used again: what tasks of another kind left is dropped."""
     for name, drop in _held.items():
         if name != but:
             drop()
     give_back()
 
 
+_turn = threading.Lock()
+_tasks, _timer = 0, threading.Timer(IDLE_S, give_back)
+
+
+@contextlib.contextmanager
+def in_task(held: str | None) -> Iterator[None]:
+    """While a worker runs a task that uses what is held under this name.
+
+    Workers are used again: what tasks of another kind left is dropped before.
+    A worker that gets no other task soon drops all of it, and what the task
+    itself left behind: it may stay idle while others need the memory.
+    """
+    global _tasks, _timer
+    _timer.cancel()
+    with _turn:
+        _tasks += 1
+        drop_held(held)
+    try:
+        yield
+    finally:
+        _timer.cancel()
+        _timer = threading.Timer(IDLE_S, _rest, [_tasks])
+        _timer.daemon = True
+        _timer.start()
+
+
+def _rest(last: int) -> None:
+    with _turn:
+        if last == _tasks:  # no task began since
+            gc.collect()
+            drop_held(None)
+
+
 def map_batches(df: DataFrame, fn: Callable[[list[list]], list], schema: str, held: str | None = None) -> DataFrame:
     """Run fn on the columns of each Arrow batch, as lists; it returns columns.
 
@@ -94,10 +131,10 @@ def map_batches(df: DataFrame, fn: Callable[[list[list]], list], schema: str, he
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(spark_schema)
-        drop_held(held)
-        for b in sliced(batches):
-            cols = fn([c.to_pylist() for c in b.columns])
-            yield pa.RecordBatch.from_arrays([c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, type=t.type) for c, t in zip(cols, arrow)], schema=arrow)
+        with in_task(held):
+            for b in sliced(batches):
+                cols = fn([c.to_pylist() for c in b.columns])
+                yield pa.RecordBatch.from_arrays([c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, type=t.type) for c, t in zip(cols, arrow)], schema=arrow)
 
     return _bounded(df).mapInArrow(run, spark_schema)
 
@@ -121,9 +158,9 @@ def kept_batches(docs: DataFrame, col: str, keep: Callable[[list], list[bool]])
     at = docs.columns.index(col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_held(None)
-        for b in sliced(batches):
-            yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
+        with in_task(None):
+            for b in sliced(batches):
+                yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
 
     return _bounded(docs).mapInArrow(run, docs.schema)
 
@@ -184,8 +221,8 @@ def train_in_one_task(examples: DataFrame, train: Callable[[Iterator[list[list]]
     numbered = examples.repartition(1).sortWithinPartitions(*examples.columns[:1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_held(None)
-        model = train([c.to_pylist() for c in b.columns] for b in sliced(batches, 256))
+        with in_task(None):
+            model = train([c.to_pylist() for c in b.columns] for b in sliced(batches, 256))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     got = _bounded(numbered).mapInArrow(run, "model binary").collect()

@@ -210,3 +210,19 @@ def test_plan_is_near_the_lower_bound():
     table = plan(counts, (2048, 2048, 2048.0**2))
     last = max(r[3] + 1 for r in table)
     assert last <= 1.05 * sum(k * n for k, n in counts.items()) / 2048
+
+
+def test_idle_workers_drop_what_they_hold(spark):
+    import time
+
+    import public_tokenizers as P
+
+    from nearfold.llm import common, packing
+
+    docs = spark.range(8).selectExpr("id AS doc_id", "concat('some words ', id) AS text").repartition(4)
+    assert packing.pieces(docs, P.path("word_bpe_49k.json")).count() == 8
+    held = lambda cols: [[len(packing._coders) for _ in cols[0]]]
+    seen = lambda: {r.n for r in common.map_batches(docs.select("doc_id"), held, "n int", held="words").collect()}
+    assert 1 in seen()  # the next task has the words
+    time.sleep(3)
+    assert seen() == {0}
