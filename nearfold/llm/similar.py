@@ -15,7 +15,8 @@ held against PIVOTS of their texts, in rows as many as they have texts; what
 is not connected then is joined again on its rarest shingles (of two sets at
 0.8 or more, those without the most common 80 % share one), so a passage that
 very many texts share makes no pairs of all of them. Pairs whose sizes or
-symbols can't reach 0.8 are dropped before whole sets are fetched.
+symbols can't reach 0.8 are dropped before whole sets are fetched, and so are,
+of those that share rare shingles, pairs whose parities differ too much.
 
 Defined results: a text of fewer than five words is one shingle; null, empty
 and wordless texts are alike. Words are split and put in lower case as in
@@ -40,6 +41,8 @@ SEGMENTS, WIDTH = 8, 5
 SMALL, PIVOTS, NEAREST = 12, 3, 2
 #: Six bits of each symbol are compared first; more than so many differing bits of all are 4.8 standard deviations from 0.8.
 SYMBOL_BITS, FAR = 6, 64
+#: Parities are kept of so many buckets of shingles.
+BUCKETS = 512
 
 _draw = np.random.default_rng(42)
 _A, _B = (_draw.integers(1, 2**63, SEGMENTS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -94,6 +97,12 @@ def sketches(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits << at, axis=2).view(np.int64)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Signed 64-bit numbers with a bit for each of BUCKETS: whether an odd number of the text's shingles falls into it."""
+    odd = np.bincount((_mixed(found) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(rows: DataFrame, text_col: str) -> DataFrame:
     """(node, n, keys, sketch) of rows (node, text)."""
 
@@ -106,9 +115,14 @@ def _signatures(rows: DataFrame, text_col: str) -> DataFrame:
 
 
 def _sets(rows: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
-    """(node, found) for the given nodes: their whole sets of shingles."""
+    """(node, found, parity) for the given nodes: their whole sets of shingles."""
     texts = rows.select("node", F.col(text_col).cast("string").alias("text")).join(sent(nodes.select("node").distinct()), "node", "left_semi")
-    return written(map_batches(texts, lambda cols: [cols[0], arrow_lists([shingles(t).view(np.int64) for t in cols[1]])], "node long, found array<long>"))
+
+    def run(cols: list[list]) -> list:
+        sets = [shingles(t) for t in cols[1]]
+        return [cols[0], arrow_lists([x.view(np.int64) for x in sets]), arrow_lists([parities(x) for x in sets])]
+
+    return written(map_batches(texts, run, "node long, found array<long>, parity array<long>"))
 
 
 def _able(m: str, n: str) -> Column:
@@ -122,6 +136,13 @@ def _near(x: str, y: str) -> Column:
     return differ[0] + differ[1] + differ[2] + differ[3] <= FAR
 
 
+def _alike(x: str, y: str, m: str, n: str) -> Column:
+    """Whether sets of m and n shingles with these parities can have 0.8: each bucket of another parity holds a shingle
+    that only one of them has, and at 0.8 those are a ninth of m + n at most."""
+    differ = [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(BUCKETS // 64)]
+    return 9 * sum(differ[1:], differ[0]) <= F.col(m) + F.col(n)
+
+
 def _linked(met: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     """(u, v), u < v: of the met pairs (a, b) those with a Jaccard similarity of 0.8 or more."""
     pairs = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
@@ -134,15 +155,17 @@ def _linked(met: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) ->
 
 
 def _rare(apart: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
-    """(a, b): pairs of nodes (node, root, n) of different roots that share one of their rarest shingles and whose sketches are near."""
-    apart = apart.join(sigs.select("node", "sketch"), "node")
-    own = _sets(rows, text_col, apart).select("node", F.explode("found").alias("h"))
+    """(a, b): pairs of nodes (node, root, n) of different roots that share one of their rarest shingles, and whose sketches and parities are near."""
+    sets = _sets(rows, text_col, apart)
+    apart = apart.join(sigs.select("node", "sketch"), "node").join(sets.select("node", "parity"), "node")
+    own = sets.select("node", F.explode("found").alias("h"))
     common = own.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     first = F.row_number().over(W.partitionBy("node").orderBy("df", "h"))
     key = own.join(common, "h").withColumn("first", first).join(apart, "node")
-    key = cut(key.filter((F.col("df") > 1) & (5 * (F.col("first") - 1) <= F.col("n"))).select("h", "node", "root", "n", "sketch"))
-    other = key.select("h", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("its"))
-    return key.join(other, "h").filter((F.col("root") < F.col("other")) & _able("n", "m") & _near("sketch", "its")).select(F.col("node").alias("a"), "b")
+    key = cut(key.filter((F.col("df") > 1) & (5 * (F.col("first") - 1) <= F.col("n"))).select("h", "node", "root", "n", "sketch", "parity"))
+    other = key.select("h", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("its"), F.col("parity").alias("of_b"))
+    near = _able("n", "m") & _near("sketch", "its") & _alike("parity", "of_b", "m", "n")
+    return key.join(other, "h").filter((F.col("root") < F.col("other")) & near).select(F.col("node").alias("a"), "b")
 
 
 def _by_simhash(rows: DataFrame, text_col: str) -> DataFrame:

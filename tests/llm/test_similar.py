@@ -118,3 +118,30 @@ def test_a_large_group_makes_few_pairs(spark, monkeypatch):
     roots = similar.similar_roots(rows, "text")
     assert roots.count() == 150 and roots.select("root").distinct().count() == 1
     assert sum(counts) <= 6 * 150 and similar._by_simhash(rows, "text").count() > 0
+
+
+def test_parities_keep_every_pair_at_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n, apart in ((9, 1), (90, 10), (90, 11), (900, 100), (900, 101), (5000, 3)):  # a ninth of both sizes: 0.8
+        both = rng.integers(0, 2**63, n - apart, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**63, apart, dtype=np.uint64)])) for _ in range(2))
+        j = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        rows.append((j >= 0.8, len(x), len(y), similar.parities(x).tolist(), similar.parities(y).tolist()))
+    got = spark.createDataFrame(rows, "near boolean, m long, n long, x array<long>, y array<long>").withColumn("kept", similar._alike("x", "y", "m", "n")).collect()
+    assert all(r.kept for r in got if r.near) and sum(r.near for r in got) == 4
+
+
+def test_a_shared_passage_leaves_few_pairs(spark):
+    """Texts that share two thirds of their words meet on every shingle of the passage."""
+    from nearfold.llm.common import numbered
+
+    passage = " ".join(f"common{k}" for k in range(100))
+    texts = [(i, passage + " " + " ".join(f"own{i}x{k}" for k in range(50))) for i in range(60)]
+    texts += [(100 + i, t.replace(f"own{i}x49", "changed")) for i, t in texts[:5]]
+    rows, name = numbered(spark.createDataFrame(texts, "id long, text string"))
+    rows = rows.withColumnRenamed(name, "node").cache()
+    sigs = similar._signatures(rows, "text").cache()
+    met = similar._rare(sigs.selectExpr("node", "node AS root", "n"), sigs, rows, "text").distinct()
+    ids = {r.node: r.id for r in rows.collect()}
+    assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in met.collect()} == {(i, 100 + i) for i in range(5)}
