@@ -11,6 +11,8 @@ seam outwards (Merges.beside).
 Texts are cut by the pattern first. Cuts at a single space between two other
 characters never lie within a match, so texts are cut there cheaply and each
 distinct part is encoded once per worker, up to a bound of remembered parts.
+The new pieces of many texts are encoded together: one step gives the prefixes
+of one length of all of them their last tokens (Merges.encode_many).
 
 Defined results: a null text is empty; an empty text has no ids. Null ids,
 repeated rows and very long texts are like any other. An empty table gives an
@@ -20,11 +22,18 @@ empty result. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+from itertools import chain, filterfalse
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import chunks_of, map_batches
+
+#: Longer pieces are encoded one by one; of so many characters of texts the new pieces are encoded together.
+LONGEST, TOGETHER = 64, 2_000_000
+#: Bits of the number of pairs of tokens that are remembered.
+PAIR_BITS = 20
 
 #: Unicode white space, as the regular expressions of the token library see it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -55,6 +64,46 @@ class Merges:
         for r, t in self.token.items():
             self.finder.add_word(t.decode("latin-1"), r)
         self.finder.make_automaton()
+        self._tables()
+
+    def _tables(self) -> None:
+        """The trie of tokens with its suffix links, and the merges, as arrays."""
+        edges, ends, fail, first = {}, [-1], [0], [-1]
+        size = max(self.token) + 1
+        self.shorter = np.full(size, -1, np.int64)  # the longest token that ends a token
+        longer = [(t, r, 0, 0) for t, r in self.rank.items()]  # token, rank, state, and how many bytes led there
+        while longer:  # by depth, so that what a link leads to is there
+            new = {}
+            for t, _, at, n in longer:
+                key = at << 8 | t[n]
+                if key not in edges:
+                    edges[key] = new[key] = len(ends)
+                    ends.append(-1)
+            longer = [(t, r, edges[at << 8 | t[n]], n + 1) for t, r, at, n in longer]
+            for t, r, at, n in longer:
+                if n == len(t):
+                    ends[at] = r
+            for key, to in new.items():
+                at, c = key >> 8, key & 255
+                link = 0
+                while at and not link:
+                    at = fail[at]
+                    link = edges.get(at << 8 | c, 0)
+                fail.append(link)
+                first.append(ends[to] if ends[to] >= 0 else first[link])
+                if ends[to] >= 0:
+                    self.shorter[ends[to]] = first[link]
+            longer = [x for x in longer if x[3] < len(x[0])]
+        order = sorted(edges)
+        self.edge_keys, self.edge_to = np.array(order, np.int64), np.array([edges[k] for k in order], np.int64)
+        self.fail, self.first = np.array(fail, np.int64), np.array(first, np.int64)
+        self.sizes, self.left, self.right = (np.full(size, -1, np.int64) for _ in range(3))
+        self.sizes[list(self.size)] = list(self.size.values())
+        for r, (a, b) in self.parts.items():
+            self.left[r], self.right[r] = a, b
+        order = sorted((a * size + b, r) for (a, b), r in self.merged.items())
+        self.merge_keys, self.merge_to = (np.array([x[k] for x in order] or [-1], np.int64) for k in (0, 1))
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int64)  # twice the key of a pair, plus one if it may stand so
 
     def _beside(self, a: int, b: int) -> bool:
         """Undo the later of the two seam tokens' merges, again and again; a merge across the seam that ranks
@@ -85,6 +134,73 @@ class Merges:
             known = self.seen[a, b] = self._beside(a, b)
         return known
 
+    def _beside_each(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_beside() of pairs."""
+        out, todo = np.zeros(len(a), bool), np.arange(len(a))
+        undone = np.full(len(a), 1 << 60)
+        while len(todo):
+            key = a * len(self.sizes) + b
+            at = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
+            on = (self.merge_keys[at] != key) | (self.merge_to[at] >= undone)
+            todo, a, b = todo[on], a[on], b[on]
+            left = a > b
+            left ^= self.left[np.where(left, a, b)] < 0  # a single byte; go on with the other side
+            undone = np.where(left, a, b + 1)
+            on = self.left[np.where(left, a, b)] >= 0
+            out[todo[~on]] = True
+            todo, a, b, left, undone = todo[on], a[on], b[on], left[on], undone[on]
+            a, b = np.where(left, self.right[a], a), np.where(left, b, self.left[b])
+        return out
+
+    def beside_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """beside() of many pairs; of pairs that fall into one place of the memory the last is remembered."""
+        key = a * len(self.sizes) + b
+        place = lambda k: (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        known = self.pairs[place(key)]
+        out, new = (known & 1).astype(bool), np.flatnonzero(known >> 1 != key)
+        if len(new):
+            keys, of = np.unique(key[new], return_inverse=True)
+            got = self._beside_each(keys // len(self.sizes), keys % len(self.sizes))
+            out[new] = got[of]
+            self.pairs[place(keys)] = 2 * keys + got
+        return out
+
+    def encode_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all pieces in turn, how many each has): the last tokens of the prefixes of one length of all pieces at a time."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        begin, falling = (np.cumsum(sizes) - sizes)[order], -sizes[order]
+        last, state = np.full(len(data), -1, np.int64), np.zeros(len(pieces), np.int64)
+        for end in range(int(sizes.max(initial=0))):
+            n = int(np.searchsorted(falling, -end))  # pieces that reach as far
+            todo, s, c = np.arange(n), state[:n].copy(), data[begin[:n] + end]
+            state[:n] = 0
+            while len(todo):  # along the suffix links to a state that goes on with this byte
+                key = s << 8 | c
+                at = np.minimum(np.searchsorted(self.edge_keys, key), len(self.edge_keys) - 1)
+                goes = self.edge_keys[at] == key
+                state[todo[goes]] = self.edge_to[at[goes]]
+                on = ~goes & (s > 0)
+                todo, s, c = todo[on], self.fail[s[on]], c[on]
+            todo, t = np.arange(n), self.first[state[:n]]
+            while len(todo):  # the longest token first
+                start = begin[todo] + end + 1 - self.sizes[t]
+                valid = start == begin[todo]
+                inner = np.flatnonzero(~valid)
+                valid[inner] = self.beside_many(last[start[inner] - 1], t[inner])
+                last[begin[todo[valid]] + end] = t[valid]
+                todo, t = todo[~valid], self.shorter[t[~valid]]
+        of, left = np.flatnonzero(sizes), sizes[sizes > 0]
+        begin, steps = np.cumsum(sizes) - sizes, [(np.zeros(0, np.int64),) * 2]
+        while len(of):
+            t = last[begin[of] + left - 1]
+            steps.append((of, t))
+            left = left - self.sizes[t]
+            of, left = of[left > 0], left[left > 0]
+        of, ids = (np.concatenate([x[k] for x in steps[::-1]]) for k in (0, 1))
+        return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(pieces))
+
     def last_tokens(self, data: str, before: list[int] | None = None) -> list[int]:
         """The valid last token of each prefix of data (bytes as latin-1), given those of its first prefixes."""
         last = list(before or [])
@@ -153,32 +269,54 @@ class TextCoder:
         self.merges, self.most = Merges(path), most
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
         self.bytes_of = {str(r): t for r, t in self.merges.token.items()}
+        size = max(self.merges.token) + 1
+        self.texts = [" " + str(r) for r in range(size)] + [f"\n{r}" for r in range(size)]  # of ids within a piece, and of its first
         self.pieces: dict[str, str] = {}
         self.first: dict[str, str] = {}  # parts of a text after a cut lack their space here
         self.inner: dict[str, str] = {}
 
-    def _piece(self, piece: str) -> str:
-        if (got := self.pieces.get(piece)) is None:
-            got = self.pieces[piece] = " ".join(map(str, self.merges.encode(piece.encode("utf-8", "surrogatepass"))))
-        return got
-
-    def _part(self, part: str) -> str:
-        return " ".join(map(self._piece, self.find(part)))
+    def _learn(self, new: set[str]) -> None:
+        """Add the ids of new pieces."""
+        pieces = list(new)
+        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        short = [(p, x) for p, x in zip(pieces, data) if len(x) <= LONGEST]
+        for p, x in zip(pieces, data):
+            if len(x) > LONGEST:
+                self.pieces[p] = " ".join(map(str, self.merges.encode(x)))
+        ids, counts = self.merges.encode_many([x for _, x in short])
+        first = np.zeros(len(ids), np.int64)
+        first[(np.cumsum(counts) - counts)] = len(self.texts) // 2
+        joined = "".join(map(self.texts.__getitem__, (ids + first).tolist()))
+        self.pieces.update(zip((p for p, _ in short), joined.split("\n")[1:]))
 
     def encode(self, text: str) -> str:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[str]:
+        """The ids of each text."""
         if max(len(self.pieces), len(self.inner), len(self.first)) > self.most:
             self.pieces, self.first, self.inner = {}, {}, {}
-        if not text:
-            return ""
-        if text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (" " + c in text or c + " " in text or text[0] == c or text[-1] == c) for c in _OTHERS):
-            return self._part(text)
-        parts = text.split(" ")
-        if parts[0] not in self.first:
-            self.first[parts[0]] = self._part(parts[0])
-        out, rest, inner = self.first[parts[0]], parts[1:], self.inner
-        for p in set(rest).difference(inner):
-            inner[p] = self._part(" " + p)
-        return " ".join([out, *map(inner.__getitem__, rest)])
+        inner, first, find = self.inner, self.first, self.find
+        cut = [None if self._odd(t) else t.split(" ") for t in texts]  # the parts of a text, each but the first after a space
+        own = [find(t) if parts is None else None for t, parts in zip(texts, cut)]
+        starts = {p[0]: find(p[0]) for p in cut if p and p[0] not in first}
+        rest = set(filterfalse(inner.__contains__, chain.from_iterable(p[1:] for p in cut if p)))
+        plain = [p for p in rest if p.isascii() and p.isalpha()]  # one match each
+        others = {p: find(" " + p) for p in rest.difference(plain)}
+        new = set(map(" ".__add__, plain))
+        new.update(chain.from_iterable(chain(starts.values(), others.values(), filter(None, own))))
+        self._learn(set(filterfalse(self.pieces.__contains__, new)))
+        piece = self.pieces.__getitem__
+        first.update((p, " ".join(map(piece, found))) for p, found in starts.items())
+        inner.update(zip(plain, map(piece, map(" ".__add__, plain))))
+        inner.update((p, " ".join(map(piece, found))) for p, found in others.items())
+        each = inner.__getitem__
+        return [" ".join(map(piece, found)) if parts is None else " ".join([first[parts[0]], *map(each, parts[1:])]) for parts, found in zip(cut, own)]
+
+    @staticmethod
+    def _odd(text: str) -> bool:
+        """Whether a space may not be cut at in this way, or there is nothing."""
+        return not text or text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (" " + c in text or c + " " in text or text[0] == c or text[-1] == c) for c in _OTHERS)
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(" "))) if ids else b""
@@ -198,7 +336,8 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", t
 
     def run(cols: list[list]) -> list:
         coder = _coder(ranks, pattern)
-        ids = [coder.encode(t or "") for t in cols[1]]
+        texts = [t or "" for t in cols[1]]
+        ids = [x for a, b in chunks_of(texts, TOGETHER) for x in coder.encode_all(texts[a:b])]
         return [cols[0], [x.count(" ") + 1 if x else 0 for x in ids], ids, [coder.decode(x) for x in ids]]
 
     kind = docs.schema[id_col].dataType.simpleString()

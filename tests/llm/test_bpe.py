@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from nearfold.llm.bpe import PrefixTable, TextCoder, decoded, encoded
+from nearfold.llm.bpe import Merges, PrefixTable, TextCoder, decoded, encoded
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 ODD = "ab c  \n\t\r'st\u00e9\u00df\u00f1\u4e2d\u658712!? \u00a0\u2003\u0085\u001c\u0301\u01c5\u0663\u3000 the ing tion "
@@ -67,3 +67,15 @@ def test_encode_and_decode_frames(spark, library):
     back = decoded(out, PATH, P.PATTERN).collect()
     assert sorted((r.doc_id or 0, bytes(r.decoded)) for r in back) == sorted((w[0], w[3]) for w in want)
     assert encoded(docs.filter("false"), PATH, P.PATTERN).count() == 0
+
+
+def test_new_pieces_are_encoded_together(library, coder, monkeypatch):
+    rng = random.Random(4)
+    bits = [bytes(rng.choice(b"ab e\xc3\xa9\xff\n.tion") for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + [b"a" * 300, b""]
+    ids, counts = coder.merges.encode_many(bits)
+    ends = [0, *counts.cumsum().tolist()]
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [coder.merges.encode(b) if b else [] for b in bits]
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(200))) for _ in range(300)] + ["", " ", "it's done.\nAgain and again"]
+    fresh = TextCoder(PATH, P.PATTERN)
+    monkeypatch.setattr(Merges, "last_tokens", None)  # not one by one
+    assert [[int(x) for x in got.split()] for got in fresh.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
