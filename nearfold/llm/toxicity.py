@@ -41,6 +41,8 @@ HIDDEN, ATTEND, EMBED = 8, 8, 4
 COUNTED = 5
 INPUTS = COUNTED + 2 * EMBED
 BLOCK = 4096
+#: While texts are scored: words whose inputs are held, characters looked up and windows run at a time. Idle or not, workers count beside the JVM.
+HELD_WORDS, LOOKED_UP, RUN = 50_000, 500_000, 1024
 
 
 def plain(words: list[bytes]) -> list[str]:
@@ -307,9 +309,9 @@ def _judge(docs: DataFrame, net: Net) -> Callable[[list], tuple[list, list]]:
         if not model.w:
             return [0.0] * len(texts), [-1] * len(texts)
         if not table:
-            table.append(WordTable(lambda ws: model.projected(model.inputs(plain(ws)))))
+            table.append(WordTable(lambda ws: model.projected(model.inputs(plain(ws))), HELD_WORDS))
         scores, places = [], []
-        for a, b in chunks_of(texts, 2_000_000):
+        for a, b in chunks_of(texts, LOOKED_UP):
             at, counts = table[0].look_up(texts[a:b])
             per = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - WINDOW) // STRIDE)), 0)
             of = np.repeat(np.arange(b - a), per)
@@ -317,10 +319,10 @@ def _judge(docs: DataFrame, net: Net) -> Callable[[list], tuple[list, list]]:
             start = np.repeat(np.cumsum(counts) - counts, per) + nth * STRIDE
             left = np.minimum(np.repeat(counts, per) - nth * STRIDE, WINDOW)
             logit = np.zeros(len(of), np.float32)
-            for i in range(0, len(of), BLOCK):
-                mask = np.arange(WINDOW) < left[i : i + BLOCK, None]
-                slots = np.minimum(start[i : i + BLOCK, None] + np.arange(WINDOW), len(at) - 1)
-                logit[i : i + BLOCK] = model.run(table[0].rows[at[slots]], mask.astype(np.float32))
+            for i in range(0, len(of), RUN):
+                mask = np.arange(WINDOW) < left[i : i + RUN, None]
+                slots = np.minimum(start[i : i + RUN, None] + np.arange(WINDOW), len(at) - 1)
+                logit[i : i + RUN] = model.run(table[0].rows[at[slots]], mask.astype(np.float32))
             order = np.lexsort((-logit, of))
             first = order[(np.cumsum(per) - per)[per > 0]] if len(order) else order
             best, place = np.zeros(b - a), np.full(b - a, -1)

@@ -257,3 +257,12 @@ def test_held_out_accuracy(spark, query, label, fold, least):
     assert len(got) == 1000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % fold[0] == fold[1]) and r.predicted == int(r.score >= 0.5) for r in got)
     held = [r for r in got if r.held_out and r.doc_id in labels]
     assert sum(r.predicted == labels[r.doc_id] for r in held) >= least * len(held)
+
+
+def test_small_bounds_give_the_same_scores(spark, toxic_net, monkeypatch):
+    texts = [" ".join(f"word{(7 * i + k) % 90}" for k in range(i)) for i in range(60)] + [None, ""]
+    docs = spark.createDataFrame([(0, "x")], "doc_id long, text string")
+    whole = toxicity._judge(docs, toxic_net)(texts)
+    for name, value in (("HELD_WORDS", 5), ("LOOKED_UP", 100), ("RUN", 2)):
+        monkeypatch.setattr(toxicity, name, value)
+    assert toxicity._judge(docs, toxic_net)(texts)[0] == pytest.approx(whole[0], abs=1e-5)
