@@ -14,9 +14,12 @@ All pairs are made of variants that at most SMALL texts share. Larger ones are
 held against PIVOTS of their texts, in rows as many as they have texts; what
 is not connected then is joined again on its rarest shingles (of two sets at
 0.8 or more, those without the most common 80 % share one), so a passage that
-very many texts share makes no pairs of all of them. Pairs whose sizes or
-symbols can't reach 0.8 are dropped before whole sets are fetched, and so are,
-of those that share rare shingles, pairs whose parities differ too much.
+very many texts share makes no pairs of all of them. There, too, the texts of a
+shingle are held against PIVOTS of them first, and only shingles whose texts are
+not in one component by then make all their pairs, each at the first shingle
+that both texts have. Pairs whose sizes or symbols can't reach 0.8 are dropped
+before whole sets are fetched, and so are, of those that share rare shingles,
+pairs whose parities differ too much.
 
 Defined results: a text of fewer than five words is one shingle; null, empty
 and wordless texts are alike. Words are split and put in lower case as in
@@ -28,12 +31,15 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import arrow_lists, cut, map_batches, numbered, sent, without, written
+from .common import _bounded, arrow_lists, in_task, map_batches, numbered, sent, without, written
 from .simhash import _LOWER, components, fingerprints, links
 
 SIZE = 5
@@ -43,6 +49,10 @@ SMALL, PIVOTS, NEAREST = 12, 3, 2
 SYMBOL_BITS, FAR = 6, 64
 #: Parities are kept of so many buckets of shingles.
 BUCKETS = 512
+#: A row of the join on rare shingles has so many of its text's, to tell whether a pair has met on another one.
+RAREST = 16
+#: Up to so many links are connected in one task, more of them by rounds of joins.
+ONE_TASK = 250_000
 
 _draw = np.random.default_rng(42)
 _A, _B = (_draw.integers(1, 2**63, SEGMENTS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -148,50 +158,103 @@ def _linked(met: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) ->
     pairs = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     for side in "uv":
         pairs = pairs.join(sigs.select(F.col("node").alias(side), F.col("sketch").alias("of_" + side)), side)
-    pairs = cut(pairs.filter(_near("of_u", "of_v")).select("u", "v"))  # written, so that the joins can split a pivot of many pairs
+    pairs = written(pairs.filter(_near("of_u", "of_v")).select("u", "v"))  # written, so that the joins can split a pivot of many pairs
     sets = _sets(rows, text_col, pairs.select(F.explode(F.array("u", "v")).alias("node")))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("found").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("found").alias("y")), "v")
-    return cut(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v"))
+    return written(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v"))
 
 
-def _rare(apart: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
-    """(a, b): pairs of nodes (node, root, n) of different roots that share one of their rarest shingles, and whose sketches and parities are near."""
+def _pivots(members: DataFrame, by: list[str], *more: str) -> DataFrame:
+    """(key, p): up to PIVOTS nodes of each key, of the roots with the smallest hashes; p has the columns node, n, root and more."""
+    own = F.struct("node", "n", "root", *more)
+    least = [F.min(F.struct(F.xxhash64(*by, "root", F.lit(k)), F.xxhash64(*by, "node"), own.alias("p"))).alias(f"p{k}") for k in range(PIVOTS)]
+    each = F.array_distinct(F.array(*(F.col(f"p{k}.p") for k in range(PIVOTS))))
+    return written(members.groupBy("key").agg(*least).select("key", F.explode(each).alias("p")))
+
+
+def _rarest(apart: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """(key, node, root, n, sketch, parity, rarest) of nodes (node, root, n): a row for each of a node's rarest shingles
+    that others have, too, and the first RAREST of them, in one order for all nodes."""
     sets = _sets(rows, text_col, apart)
     apart = apart.join(sigs.select("node", "sketch"), "node").join(sets.select("node", "parity"), "node")
     own = sets.select("node", F.explode("found").alias("h"))
-    common = own.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    first = F.row_number().over(W.partitionBy("node").orderBy("df", "h"))
-    key = own.join(common, "h").withColumn("first", first).join(apart, "node")
-    key = cut(key.filter((F.col("df") > 1) & (5 * (F.col("first") - 1) <= F.col("n"))).select("h", "node", "root", "n", "sketch", "parity"))
-    other = key.select("h", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("its"), F.col("parity").alias("of_b"))
+    common = own.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = own.join(common, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))
+    first = F.floor(F.col("n") / 5) + 1 - (F.col("n") - F.size("x"))  # those that no other node has are the rarest
+    key = ranked.join(apart, "node").withColumn("x", F.slice(F.col("x.h"), 1, F.greatest(F.lit(0), first).cast("int")))
+    return written(key.select(F.explode("x").alias("key"), "node", "root", "n", "sketch", "parity", F.slice("x", 1, RAREST).alias("rarest")))
+
+
+def _rare(apart: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """(a, b): pairs of nodes (node, root, n) of different roots that share one of their rarest shingles, and whose sketches
+    and parities are near. Pairs that other pairs' links connect, the first links being among the pairs, may be left out."""
+    keys = _rarest(apart, sigs, rows, text_col)
     near = _able("n", "m") & _near("sketch", "its") & _alike("parity", "of_b", "m", "n")
-    return key.join(other, "h").filter((F.col("root") < F.col("other")) & near).select(F.col("node").alias("a"), "b")
+    p = _pivots(keys, ["key"], "sketch", "parity").select("key", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.root").alias("other"), F.col("p.sketch").alias("its"), F.col("p.parity").alias("of_b"))
+    held = keys.drop("rarest").join(p, "key").filter((F.col("root") != F.col("other")) & near).select(F.col("node").alias("a"), "b")
+    found = _linked(held, sigs, rows, text_col)
+    left = _open(keys.drop("root"), _merged(apart.select("node", "root"), found))
+    other = left.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("its"), F.col("parity").alias("of_b"), F.col("rarest").alias("of"))
+    # The first shingle that both rows list is a key of both texts; if they list none, the pair is made at each that it shares.
+    once = F.coalesce(F.get(F.array_intersect("rarest", "of"), F.lit(0)) == F.col("key"), F.lit(True))
+    met = left.join(other, "key").filter((F.col("root") < F.col("other")) & near & once).select(F.col("node").alias("a"), "b")
+    return met.unionAll(found.select(F.col("u").alias("a"), F.col("v").alias("b")))
 
 
 def _by_simhash(rows: DataFrame, text_col: str) -> DataFrame:
     """(a, b): texts with one fingerprint, held against the first of them, and the first ones of fingerprints that simhash links."""
-    fps = cut(fingerprints(rows, "node", text_col, SIZE))
-    first = cut(fps.groupBy("fp").agg(F.min("id").alias("b")))
-    pairs = cut(links(first.select("fp")))
+    fps = written(fingerprints(rows, "node", text_col, SIZE))
+    first = written(fps.groupBy("fp").agg(F.min("id").alias("b")))
+    pairs = written(links(first.select("fp")))
     for side, end in ("ua", "vb"):
         pairs = pairs.join(first.select(F.col("fp").alias(side), F.col("b").alias(end + "_")), side)
     same = fps.join(first, "fp").filter("id <> b").select(F.col("id").alias("a"), "b")
     return same.unionAll(pairs.select(F.col("a_").alias("a"), F.col("b_").alias("b")))
 
 
-def _merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+def connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (u, v), in order, and the smallest node that each can reach."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return nodes, nodes[root]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """components() of few edges, a written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with in_task(None):
+            ends = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+            if ends:
+                found = connected(*(np.concatenate(x).astype(np.int64) for x in zip(*ends)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "root"])
+
+    return _bounded(edges.coalesce(1)).mapInArrow(run, "node long, root long")
+
+
+def _merged(roots: DataFrame | None, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, root) by the edges (u, v) and the roots so far. Edges are read from a table again: a checkpoint keeps
     what the optimizer inferred, and over several rounds of components that outgrows it."""
     if roots is not None:
         edges = edges.unionAll(roots.filter("root < node").select(F.col("root").alias("u"), F.col("node").alias("v")))
-    return written(components(written(edges)))
+    edges = written(edges)
+    few = edges.count() <= (ONE_TASK if most is None else most)
+    return written(_in_one_task(edges) if few else components(edges))
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """members with the root of each node, of the keys whose nodes have several."""
-    named = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     several = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    return cut(named.join(several, "key"))
+    return written(named.join(several, "key"))
 
 
 def similar_roots(rows: DataFrame, text_col: str, small: int = SMALL) -> DataFrame:
@@ -204,8 +267,8 @@ def similar_roots(rows: DataFrame, text_col: str, small: int = SMALL) -> DataFra
     """
     sigs = written(_signatures(rows, text_col))
     keys = sigs.select(F.explode("keys").alias("key"), "node", "n")
-    shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("p")).filter("c > 1"))
-    members = cut(keys.join(shared.select("key", "c"), "key"))
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("p")).filter("c > 1"))
+    members = written(keys.join(shared.select("key", "c"), "key"))
     held = members.join(shared.select("key", F.col("p.node").alias("b"), F.col("p.n").alias("m")), "key").filter((F.col("node") != F.col("b")) & _able("n", "m"))
     held = held.groupBy("node", "b").agg(F.count(F.lit(1)).alias("votes"))
     nearest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("votes"), "b"))
@@ -217,13 +280,11 @@ def similar_roots(rows: DataFrame, text_col: str, small: int = SMALL) -> DataFra
     one = few.select("key", F.col("node").alias("a"), "n", "root")
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     met = one.join(other, "key").filter((F.col("root") < F.col("other")) & _able("n", "m")).select("a", "b")
-    pivot = [F.min(F.struct(F.xxhash64("root", F.lit(k)), F.xxhash64("node"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))).alias(f"p{k}") for k in range(PIVOTS)]
-    each = F.array_distinct(F.array(*(F.struct(f"p{k}.b", f"p{k}.m", f"p{k}.other") for k in range(PIVOTS))))
-    pivots = cut(many.groupBy("key").agg(*pivot).select("key", F.explode(each).alias("p")).select("key", "p.b", "p.m", "p.other"))
+    pivots = _pivots(many, []).select("key", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.root").alias("other"))
     held = many.join(pivots, "key").filter((F.col("root") != F.col("other")) & _able("n", "m")).select(F.col("node").alias("a"), "b")
     roots = _merged(roots, _linked(met.unionAll(held), sigs, rows, text_col))
 
-    apart = cut(_open(many.drop("root"), roots).select("node", "root", "n").distinct())
+    apart = written(_open(many.drop("root"), roots).select("node", "root", "n").distinct())
     if apart.isEmpty():
         return roots
     more = _linked(_rare(apart, sigs, rows, text_col), sigs, rows, text_col)
@@ -234,9 +295,9 @@ def _members(rows: DataFrame, id_col: str, text_col: str, small: int) -> DataFra
     """(node, least): the first row with the smallest id of its component, for rows of components of two or more."""
     roots = similar_roots(rows, text_col, small)
     ids = rows.select("node", F.col(id_col).alias("id"))
-    found = cut(ids.join(roots, "node"))
-    least = cut(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least")))  # written, so that the join can split a large root
-    return cut(found.join(least, "root").select("node", "least"))
+    found = written(ids.join(roots, "node"))
+    least = written(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least")))  # written, so that the join can split a large root
+    return written(found.join(least, "root").select("node", "least"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:

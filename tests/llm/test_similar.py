@@ -145,3 +145,56 @@ def test_a_shared_passage_leaves_few_pairs(spark):
     met = similar._rare(sigs.selectExpr("node", "node AS root", "n"), sigs, rows, "text").distinct()
     ids = {r.node: r.id for r in rows.collect()}
     assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in met.collect()} == {(i, 100 + i) for i in range(5)}
+
+
+def _rare_input(spark, texts):
+    from nearfold.llm.common import numbered
+
+    rows, name = numbered(spark.createDataFrame(texts, "id long, text string"))
+    rows = rows.withColumnRenamed(name, "node").cache()
+    return rows, similar._signatures(rows, "text").cache()
+
+
+def test_rare_shingles_of_a_large_group_make_few_rows(spark):
+    """Near copies meet on many shingles, but a pair makes one row at most, and the links connect them all."""
+    rng = random.Random(4)
+    base = [f"n{rng.randrange(10**6)}" for _ in range(200)]
+    rows, sigs = _rare_input(spark, [(i, " ".join(edited(rng, base, 2))) for i in range(60)])
+    met = similar._rare(sigs.selectExpr("node", "node AS root", "n"), sigs, rows, "text").cache()
+    assert 60 <= met.count() <= 60 * 59 // 2
+    roots = similar._merged(None, similar._linked(met, sigs, rows, "text"))
+    assert roots.count() == 60 and roots.select("root").distinct().count() == 1
+
+
+@pytest.mark.parametrize("rarest", [0, 1, 16])
+def test_pairs_apart_meet_on_one_shingle(spark, monkeypatch, rarest):
+    """Pairs that no link settles are made once if both rows list a shared shingle, and at least once if they list none."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(4):
+        base = [f"n{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [(len(texts) + k, " ".join(base[5 * k :] + [f"e{len(texts)}x{k}x{j}" for j in range(5 * k)])) for k in range(4)]
+    monkeypatch.setattr(similar, "RAREST", rarest)
+    monkeypatch.setattr(similar, "_near", lambda x, y: similar.F.lit(True))
+    monkeypatch.setattr(similar, "_alike", lambda x, y, m, n: similar.F.lit(True))
+    monkeypatch.setattr(similar, "_linked", lambda met, *rest: met.limit(0).toDF("u", "v"))
+    rows, sigs = _rare_input(spark, texts)
+    met = [tuple(sorted((r.a, r.b))) for r in similar._rare(sigs.selectExpr("node", "node AS root", "n"), sigs, rows, "text").collect()]
+    ids = {r.node: r.id for r in rows.collect()}
+    sets = {i: shingle_set(t) for i, t in texts}
+    linked = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])}
+    assert linked and linked <= {tuple(sorted((ids[a], ids[b]))) for a, b in met}
+    assert rarest < 16 or len(met) == len(set(met))
+
+
+def test_links_are_connected_alike_in_one_task_and_by_joins(spark):
+    rng = random.Random(8)
+    edges = [tuple(sorted(rng.sample(range(400), 2))) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2040)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    table = spark.createDataFrame(edges, "u long, v long")
+    for most in (None, 0):
+        assert {r.node: r.root for r in similar._merged(None, table, most).collect()} == root
+    assert similar._merged(None, table.limit(0)).count() == 0
