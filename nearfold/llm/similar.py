@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import _bounded, arrow_lists, in_task, map_batches, numbered, sent, without, written
+from .common import _bounded, arrow_lists, cut, in_task, map_batches, numbered, sent, without, written
 from .simhash import _LOWER, components, fingerprints, links
 
 SIZE = 5
@@ -158,10 +158,10 @@ def _linked(met: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) ->
     pairs = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     for side in "uv":
         pairs = pairs.join(sigs.select(F.col("node").alias(side), F.col("sketch").alias("of_" + side)), side)
-    pairs = written(pairs.filter(_near("of_u", "of_v")).select("u", "v"))  # written, so that the joins can split a pivot of many pairs
+    pairs = cut(pairs.filter(_near("of_u", "of_v")).select("u", "v"))  # written, so that the joins can split a pivot of many pairs
     sets = _sets(rows, text_col, pairs.select(F.explode(F.array("u", "v")).alias("node")))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("found").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("found").alias("y")), "v")
-    return written(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v"))
+    return cut(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v"))
 
 
 def _pivots(members: DataFrame, by: list[str], *more: str) -> DataFrame:
@@ -169,7 +169,7 @@ def _pivots(members: DataFrame, by: list[str], *more: str) -> DataFrame:
     own = F.struct("node", "n", "root", *more)
     least = [F.min(F.struct(F.xxhash64(*by, "root", F.lit(k)), F.xxhash64(*by, "node"), own.alias("p"))).alias(f"p{k}") for k in range(PIVOTS)]
     each = F.array_distinct(F.array(*(F.col(f"p{k}.p") for k in range(PIVOTS))))
-    return written(members.groupBy("key").agg(*least).select("key", F.explode(each).alias("p")))
+    return cut(members.groupBy("key").agg(*least).select("key", F.explode(each).alias("p")))
 
 
 def _rarest(apart: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
@@ -182,7 +182,7 @@ def _rarest(apart: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) -
     ranked = own.join(common, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))
     first = F.floor(F.col("n") / 5) + 1 - (F.col("n") - F.size("x"))  # those that no other node has are the rarest
     key = ranked.join(apart, "node").withColumn("x", F.slice(F.col("x.h"), 1, F.greatest(F.lit(0), first).cast("int")))
-    return written(key.select(F.explode("x").alias("key"), "node", "root", "n", "sketch", "parity", F.slice("x", 1, RAREST).alias("rarest")))
+    return cut(key.select(F.explode("x").alias("key"), "node", "root", "n", "sketch", "parity", F.slice("x", 1, RAREST).alias("rarest")))
 
 
 def _rare(apart: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
@@ -203,9 +203,9 @@ def _rare(apart: DataFrame, sigs: DataFrame, rows: DataFrame, text_col: str) ->
 
 def _by_simhash(rows: DataFrame, text_col: str) -> DataFrame:
     """(a, b): texts with one fingerprint, held against the first of them, and the first ones of fingerprints that simhash links."""
-    fps = written(fingerprints(rows, "node", text_col, SIZE))
-    first = written(fps.groupBy("fp").agg(F.min("id").alias("b")))
-    pairs = written(links(first.select("fp")))
+    fps = cut(fingerprints(rows, "node", text_col, SIZE))
+    first = cut(fps.groupBy("fp").agg(F.min("id").alias("b")))
+    pairs = cut(links(first.select("fp")))
     for side, end in ("ua", "vb"):
         pairs = pairs.join(first.select(F.col("fp").alias(side), F.col("b").alias(end + "_")), side)
     same = fps.join(first, "fp").filter("id <> b").select(F.col("id").alias("a"), "b")
@@ -252,9 +252,9 @@ def _merged(roots: DataFrame | None, edges: DataFrame, most: int | None = None)
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """members with the root of each node, of the keys whose nodes have several."""
-    named = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     several = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    return written(named.join(several, "key"))
+    return cut(named.join(several, "key"))
 
 
 def similar_roots(rows: DataFrame, text_col: str, small: int = SMALL) -> DataFrame:
@@ -267,8 +267,8 @@ def similar_roots(rows: DataFrame, text_col: str, small: int = SMALL) -> DataFra
     """
     sigs = written(_signatures(rows, text_col))
     keys = sigs.select(F.explode("keys").alias("key"), "node", "n")
-    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("p")).filter("c > 1"))
-    members = written(keys.join(shared.select("key", "c"), "key"))
+    shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("p")).filter("c > 1"))
+    members = cut(keys.join(shared.select("key", "c"), "key"))
     held = members.join(shared.select("key", F.col("p.node").alias("b"), F.col("p.n").alias("m")), "key").filter((F.col("node") != F.col("b")) & _able("n", "m"))
     held = held.groupBy("node", "b").agg(F.count(F.lit(1)).alias("votes"))
     nearest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("votes"), "b"))
@@ -284,7 +284,7 @@ def similar_roots(rows: DataFrame, text_col: str, small: int = SMALL) -> DataFra
     held = many.join(pivots, "key").filter((F.col("root") != F.col("other")) & _able("n", "m")).select(F.col("node").alias("a"), "b")
     roots = _merged(roots, _linked(met.unionAll(held), sigs, rows, text_col))
 
-    apart = written(_open(many.drop("root"), roots).select("node", "root", "n").distinct())
+    apart = cut(_open(many.drop("root"), roots).select("node", "root", "n").distinct())
     if apart.isEmpty():
         return roots
     more = _linked(_rare(apart, sigs, rows, text_col), sigs, rows, text_col)
@@ -295,9 +295,9 @@ def _members(rows: DataFrame, id_col: str, text_col: str, small: int) -> DataFra
     """(node, least): the first row with the smallest id of its component, for rows of components of two or more."""
     roots = similar_roots(rows, text_col, small)
     ids = rows.select("node", F.col(id_col).alias("id"))
-    found = written(ids.join(roots, "node"))
-    least = written(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least")))  # written, so that the join can split a large root
-    return written(found.join(least, "root").select("node", "least"))
+    found = cut(ids.join(roots, "node"))
+    least = cut(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least")))  # written, so that the join can split a large root
+    return cut(found.join(least, "root").select("node", "least"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
